@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trendloom.llm import tokenize_queries
+from trendloom.llm import boilerplate_queries, lookalike_queries, tokenize_queries
 
-MODULES = [tokenize_queries]
+MODULES = [lookalike_queries, boilerplate_queries, tokenize_queries]
 
 
 def queries() -> dict:
