@@ -8,6 +8,7 @@ one after, are normalised; everything else is copied as it is.
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -29,9 +30,14 @@ ARMENIAN = "ՍՕօսոհզցյ"
 ARMENIAN_AS = "UOounhqgj"
 OTHER = "ɑɡıɩǀ‐‑−ʼ"
 OTHER_AS = "agiil---'"
+#: Ligatures and digraphs that are drawn as their letters.
+LIGATURES = {*range(0xFB00, 0xFB07), 0x132, 0x133, *range(0x1C4, 0x1CD), *range(0x1F1, 0x1F4)}
 #: Small Cyrillic letters that are not small Latin ones keep their own shape.
 KEPT = "вкмнт"
-BLANK_LINES = regex.compile(r"[ \t\x0b\x0c]*\r\n?|[ \t\x0b\x0c]*(?=\n)")
+#: A character outside the short ranges known to be stable (ASCII, composed Latin letters, common marks). The class of all
+#: unstable characters has thousands of ranges, which the JVM's patterns try one by one; texts found here are scanned with it in Python.
+DOUBTFUL = r"[^\n\x20-\x7e\u00a1-\u00ac\u00ae-\u0130\u0134-\u01bf\u01cd-\u01f0\u1ea0-\u1ef9\u2013\u2014\u2018-\u201f\u2026]"
+BLANK_LINES = re.compile(r"[ \t\x0b\x0c]*\r\n?|[ \t\x0b\x0c]*(?=\n)")
 EMOJI = regex.compile(r"[\p{Extended_Pictographic}\p{Emoji_Modifier}\p{Regional_Indicator}️]")
 
 
@@ -49,7 +55,7 @@ def simple_forms() -> dict[str, str]:
     for n in range(0x80, sys.maxunicode + 1):
         c = chr(n)
         d = unicodedata.decomposition(c)
-        if d.startswith(("<wide>", "<narrow>", "<font>")):
+        if d.startswith(("<wide>", "<narrow>", "<font>")) or d.startswith("<compat>") and n in LIGATURES:
             out[c] = unicodedata.normalize("NFKC", c)
         elif unicodedata.category(c) in ("Zs", "Zl", "Zp"):
             out[c] = "\n" if unicodedata.category(c) != "Zs" else " "
@@ -58,7 +64,7 @@ def simple_forms() -> dict[str, str]:
 
 @cache
 def unstable_class() -> str:
-    """A character class of all unstable characters, in the syntax that both Python and Java read."""
+    """A character class of all unstable characters."""
     forms, looks = simple_forms(), lookalikes()
     runs: list[list[int]] = []
     for n in range(sys.maxunicode + 1):
@@ -72,21 +78,21 @@ def unstable_class() -> str:
                 runs[-1][1] = n
             else:
                 runs.append([n, n])
-    return "".join(f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs)
+    return "".join(f"\\U{a:08x}" if a == b else f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
 
 
 @cache
-def _segments() -> regex.Pattern:
-    cls = regex.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", unstable_class())
-    return regex.compile(f"[^{cls}]?[{cls}]+")
+def _segments() -> re.Pattern:
+    return re.compile(f"[{unstable_class()}]+")
 
 
-def _segment(m: regex.Match) -> str:
-    s = m[0]
+def _segment(text: str, start: int, end: int) -> str:
+    """The normal form of a segment of unstable characters with the character before it."""
     forms = simple_forms()
     out = []
-    for k, c in enumerate(s):
-        if c == "\u200d" and 0 < k and EMOJI.match(s[k - 1]) and EMOJI.match(m.string, m.start() + k + 1):
+    for k in range(start, end):
+        c = text[k]
+        if c == "\u200d" and 0 < k and EMOJI.match(text[k - 1]) and EMOJI.match(text, k + 1):
             out.append(c)  # a joiner inside an emoji is seen
         elif unicodedata.category(c) != "Cf" or 0xE0000 <= ord(c):
             out.append(forms.get(c, c))
@@ -95,7 +101,12 @@ def _segment(m: regex.Match) -> str:
 
 def canonical(text: str) -> str:
     """The text with composed accents, plain width, plain blanks and no invisible characters; idempotent."""
-    text = _segments().sub(_segment, text)
+    parts, at = [], 0
+    for m in _segments().finditer(text):
+        start = max(at, m.start() - 1)  # the starter that the segment may compose with
+        parts += (text[at:start], _segment(text, start, m.end()))
+        at = m.end()
+    text = "".join(parts) + text[at:]
     text = BLANK_LINES.sub(lambda m: "\n" if "\r" in m[0] else "", text)
     return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
 
@@ -118,17 +129,21 @@ def plain_letters(text: str) -> str:
     return _WORD.sub(word, text)
 
 
+_LOOKS = re.compile(f"[\u0370-\u058f{OTHER}]")
+_BLANKS = re.compile(r"[ \t\x0b\x0c]+")
+
+
 def skeleton(text: str) -> str:
     """What is equal for texts that look the same: all look-alikes mapped, runs of blanks as one."""
     text = canonical(text)
-    if any(c in text for c in lookalikes()) or regex.search(r"[\p{Greek}\p{Cyrillic}]", text):
+    if _LOOKS.search(text):
         looks = lookalikes()
         text = unicodedata.normalize("NFC", "".join(looks.get(c, c) for c in unicodedata.normalize("NFD", text)))
-    return regex.sub(r"[ \t\x0b\x0c]+", " ", text).strip()
+    return _BLANKS.sub(" ", text).strip()
 
 
 def _mapped(text: Column, how: str) -> Column:
-    """``how`` over the texts with an unstable character; the others don't leave the JVM."""
+    """``how`` over the texts with a doubtful character; the others don't leave the JVM."""
     f = {"canonical": lambda s: plain_letters(canonical(s)), "skeleton": skeleton}[how]
 
     @F.pandas_udf("string")
@@ -136,8 +151,8 @@ def _mapped(text: Column, how: str) -> Column:
         for s in batches:
             yield s.map(f, na_action="ignore")
 
-    unstable = text.rlike(f"[{unstable_class()}]|\\p{{IsGreek}}|\\p{{IsCyrillic}}" if how == "canonical" else f"[{unstable_class()}]|  |^\\s|\\s$|\\p{{IsGreek}}|\\p{{IsCyrillic}}")
-    return F.coalesce(run(F.when(unstable, text)), text)
+    doubtful = text.rlike(DOUBTFUL if how == "canonical" else DOUBTFUL + r"|  |^\s|\s$")
+    return F.coalesce(run(F.when(doubtful, text)), text)
 
 
 def normalise_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
