@@ -15,7 +15,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType, StructField, StructType
 
@@ -292,9 +292,14 @@ def describe(df: DataFrame, members: DataFrame, id_col: str = "id", vector: str
 
     Sums and ranks are taken per cluster by aggregates; of each cluster only ``typical`` ids are kept while merging.
     """
-    x = members.join(vectorise(df.where(usable(vector)), id_col, vector), "id")
-    size = len(x.select("v").first()[0]) if x.limit(1).count() else 0
+    own = df.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).join(members.select("id").distinct(), "id", "left_semi")
+    x = members.join(vectorise(own, "id", "v"), "id")
+    first = own.select(F.size("v").alias("n")).first()
+    size = first["n"] if first else 0
     centre = x.groupBy("cluster_id").agg(F.count("*").alias("n_members"), F.array(*[F.avg(F.col("v")[i].cast("double")) for i in range(size)]).alias("c")).where(F.col("n_members") >= least)
     dot = F.aggregate(F.zip_with("v", "c", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     near = x.join(centre, "cluster_id").select("cluster_id", "n_members", "id", dot.alias("s"))
-    return near.groupBy("cluster_id", "n_members").agg(F.expr(f"max_by(id, struct(s, -id), {typical})").alias("typical_ids"))
+    # ranks limited to the first few, which are cut before the shuffle
+    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("s"), "id"))
+    few = near.withColumn("rank", rank).where(F.col("rank") <= typical)
+    return few.groupBy("cluster_id", "n_members").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("typical_ids"))
