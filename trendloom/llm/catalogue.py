@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trendloom.llm import boilerplate_queries, cluster_queries, leakage_queries, lookalike_queries, neighbour_queries, reading_queries, subject_queries, tokenize_queries
+from trendloom.llm import boilerplate_queries, cluster_queries, leakage_queries, lookalike_queries, neighbour_queries, reading_queries, subject_queries, tokenize_queries, truncation_queries
 
-MODULES = [subject_queries, neighbour_queries, cluster_queries, lookalike_queries, boilerplate_queries, tokenize_queries, leakage_queries, reading_queries]
+MODULES = [truncation_queries, subject_queries, neighbour_queries, cluster_queries, lookalike_queries, boilerplate_queries, tokenize_queries, leakage_queries, reading_queries]
 
 
 def queries() -> dict:
