@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trendloom.plans import timestamp_queries
+from trendloom.plans import match_queries, report_queries, stream_queries, text_queries, timestamp_queries
 
-MODULES = [timestamp_queries]
+MODULES = [timestamp_queries, text_queries, match_queries, report_queries, stream_queries]
 
 
 def queries() -> dict:
