@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.session import bounded_broadcast
+from trendloom.session import bounded_broadcast, materialise
 
 #: Minutes east of UTC of zone abbreviations that name one offset.
 ABBREVIATIONS = {
@@ -46,6 +46,8 @@ NOTATIONS = (
 MOST_HOURS = 24.0
 #: A zone other than the declared one must lower the cost by so many hours a reading, and so many in all.
 PRIOR_EACH, PRIOR_ALL = 0.25, 48.0
+#: Without a declared zone, the readings that an estimate needs, and the hours that they may be late on average.
+LEAST_READINGS, MOST_MEAN = 20, 12.0
 
 
 def _int(c: Column) -> Column:
@@ -121,7 +123,7 @@ def estimate_zones(df: DataFrame, sites: DataFrame, source: str, local_us: str,
     The cost of a zone is the sum over readings of the hours from reading to ingestion, at most ``MOST_HOURS``,
     which a reading later than its ingestion counts too. The declared zone stays unless another one is better by
     ``PRIOR_EACH`` hours a reading and ``PRIOR_ALL`` in all; equal zones are taken by name. A source without
-    readings keeps the declared zone. Rows are multiplied by the fixed list of candidates and summed before the
+    readings keeps the declared zone; one without a declared zone gets none from few or very late readings. Rows are multiplied by the fixed list of candidates and summed before the
     shuffle, so a hot source costs one row a task.
     """
     spark = df.sparkSession
@@ -134,7 +136,7 @@ def estimate_zones(df: DataFrame, sites: DataFrame, source: str, local_us: str,
     prior = F.when(F.col("declared").isNull() | (F.col("z") == F.col("declared")), 0.0).otherwise(F.col("n") * PRIOR_EACH + PRIOR_ALL)
     best = cost.groupBy("source").agg(F.min_by("z", F.struct(F.round(F.col("c") + prior, 6), "z")).alias("best"), F.min_by("c", F.struct(F.round(F.col("c") + prior, 6), "z")).alias("cost"), F.max("n").alias("readings"), F.max(F.when(F.col("z") == F.col("declared"), F.col("c"))).alias("declared_cost"))
     declared = sites.select("source", F.col("tz").alias("declared_tz"))
-    return declared.join(best, "source", "full").select("source", "declared_tz", F.coalesce("best", "declared_tz").alias("tz"), F.coalesce("readings", F.lit(0)).alias("readings"), "declared_cost", "cost")
+    return declared.join(best, "source", "full").select("source", "declared_tz", F.coalesce(F.when(F.col("declared_tz").isNotNull() | ((F.col("readings") >= LEAST_READINGS) & (F.col("cost") <= MOST_MEAN * F.col("readings"))), F.col("best")), F.col("declared_tz")).alias("tz"), F.coalesce("readings", F.lit(0)).alias("readings"), "declared_cost", "cost")
 
 
 def normalise_timestamps(df: DataFrame, sites: DataFrame, id_col: str, fields: Sequence[str], source: str = "source", ingested: str = "ingested_at", max_sites: int = 100_000) -> DataFrame:
@@ -157,7 +159,8 @@ def normalise_timestamps(df: DataFrame, sites: DataFrame, id_col: str, fields: S
     long = readings(long, "value", "date_order")
     plain = long.where(F.col("__offset_min").isNull() & F.col("__region").isNull())
     zones = estimate_zones(plain, sites.select(F.col("__s_source").alias("source"), "tz"), "__source", "__local_us", "__ingested_us")
-    zones = bounded_broadcast(zones.select(F.col("source").alias("__s_source"), F.col("tz").alias("__tz")), max_sites)
+    # written once: counting and joining it would estimate it twice
+    zones = bounded_broadcast(materialise(zones.select(F.col("source").alias("__s_source"), F.col("tz").alias("__tz"))), max_sites)
     long = long.join(zones, F.col("__source") == F.col("__s_source"), "left")
     zone = F.when(F.col("__region").isNotNull(), F.when(F.col("__region").isin(known_zones(spark)), F.col("__region"))).otherwise(F.col("__tz"))
     utc = F.coalesce(F.col("__epoch_us"), F.when(F.col("__offset_min").isNotNull(), F.col("__local_us") - F.col("__offset_min") * F.lit(60_000_000).cast("bigint")).otherwise(to_instant(F.col("__local_us"), zone)))

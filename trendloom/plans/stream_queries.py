@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.operators import graph, matching
 from trendloom.operators.state import StateTable, merge_names
-from trendloom.session import shared_dir, table
+from trendloom.session import own_folder, table
 from trendloom.streaming import jobs
 
 SIZE = 64
@@ -40,7 +39,7 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_averages(spark: SparkSession, d: str) -> DataFrame:
     """The moving average of each event type's values, kept as state."""
-    base = f"{shared_dir(spark)}/ema-{uuid.uuid4().hex}"
+    base = own_folder(spark, "ema")
     s = jobs.moving_average(_events(spark, d).select("event_type", "value", "ts", "event_id"), "event_type", "value")
     jobs.run_to_end(s, "update", lambda b, n: b.withColumn("batch", F.lit(n)).write.mode("append").parquet(base))
     x = spark.read.schema("event_type string, n long, ema double, batch long").parquet(base)
@@ -48,7 +47,7 @@ def stream_averages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stream_state(spark: SparkSession, d: str) -> DataFrame:
-    state = StateTable(spark, f"{shared_dir(spark)}/state-{uuid.uuid4().hex}")
+    state = StateTable(spark, own_folder(spark, "state"))
     messages = jobs.file_messages(spark, f"{d}/posts_stream_v[1].parquet", table(spark, d, "posts_stream_v1").schema, 1)
     jobs.update_trends(messages, state, table(spark, d, "detected_trends"))
     return state.current()

@@ -27,13 +27,24 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def own_folder(spark: SparkSession, kind: str) -> str:
+    """A new name in the shared folder, removed when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/trendloom-{kind}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    fs.delete(p, True)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """``df`` written as parquet to the shared folder and read again.
 
     This cuts the lineage and survives the loss of executors; unlike ``localCheckpoint`` no block
     lives only on one executor, and unlike ``checkpoint`` the rows are kept columnar and compressed.
     """
-    path = f"{shared_dir(df.sparkSession)}/trendloom-{uuid.uuid4().hex}"
+    path = own_folder(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trendloom.functions.text import topic_of
 from trendloom.operators.state import StateTable, merge_batch
-from trendloom.session import shared_dir
+from trendloom.session import own_folder
 
 #: Messages as the topic carries them.
 MESSAGE = "content string, source string, time string, created_time string, summary string, url string, interaction bigint, final_topic string, category string"
@@ -39,7 +38,7 @@ def file_messages(spark: SparkSession, path: str, schema, most_files: int | None
 def run_to_end(stream: DataFrame, mode: str = "append", each=None) -> DataFrame | None:
     """Runs a stream over what there is. Without ``each`` the rows are written to the shared folder and read back."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = own_folder(spark, "stream")
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
     if each is not None:
         w.foreachBatch(each).start().awaitTermination()
@@ -50,7 +49,7 @@ def run_to_end(stream: DataFrame, mode: str = "append", each=None) -> DataFrame
 
 def last_of_complete(stream: DataFrame) -> DataFrame:
     """The final table of an aggregating stream in complete mode."""
-    base = f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    base = own_folder(stream.sparkSession, "stream")
     run_to_end(stream, "complete", lambda b, n: b.write.mode("overwrite").parquet(f"{base}/last"))
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/last")
 
