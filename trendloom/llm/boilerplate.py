@@ -10,10 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def text_key(text: Column) -> Column:
+    """What two texts share that differ only in letter case or blanks."""
+    return F.lower(F.regexp_replace(text, r"[\s\p{Z}\p{Cc}\p{Cf}]+", ""))
+
+
 def line_key(line: Column) -> Column:
     """What two lines share that differ only in letter case, blanks or numbers; empty for a blank line."""
-    x = F.regexp_replace(line, r"[\s\p{Z}\p{Cc}\p{Cf}]+", "")
-    return F.regexp_replace(F.lower(x), r"\p{Nd}+(?:[.,]\p{Nd}+)*", "0")
+    return F.regexp_replace(text_key(line), r"\p{Nd}+(?:[.,]\p{Nd}+)*", "0")
 
 
 def _lines(df: DataFrame, id_col: str, source: str, content: str) -> DataFrame:
@@ -25,8 +29,8 @@ def _lines(df: DataFrame, id_col: str, source: str, content: str) -> DataFrame:
 
 
 def _prepared(df: DataFrame, content: str, date: str | None) -> DataFrame:
-    # the fingerprint of a document: its text without case, blanks and numbers, so that a republished copy counts once
-    return df.withColumns({"__cluster": F.xxhash64(line_key(F.col(content))), "__date": F.col(date).cast("date") if date else F.lit(None).cast("date")})
+    # the fingerprint of a document: its text without case and blanks, so that a republished copy counts once
+    return df.withColumns({"__cluster": F.xxhash64(text_key(F.col(content))), "__date": F.col(date).cast("date") if date else F.lit(None).cast("date")})
 
 
 def repeated_lines(df: DataFrame, id_col: str, source: str, content: str, date: str | None = None, min_documents: int = 5) -> DataFrame:

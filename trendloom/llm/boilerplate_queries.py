@@ -23,10 +23,11 @@ def cleaned(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.without_repeated_lines(table(spark, d, "processed_posts"), date="processed_at")
 
 
+_TEXT = r"lower(regexp_replace({}, '[\s\p{{Z}}\p{{Cc}}\p{{Cf}}]+', '', 'g'))"
 _KEY = r"regexp_replace(lower(regexp_replace({}, '[\s\p{{Z}}\p{{Cc}}\p{{Cf}}]+', '', 'g')), '\p{{Nd}}+(?:[.,]\p{{Nd}}+)*', '0', 'g')"
 _LINES = f"""
 WITH posts AS (
-  SELECT id, source, content, CAST(processed_at AS DATE) AS day, {_KEY.format("content")} AS cluster
+  SELECT id, source, content, CAST(processed_at AS DATE) AS day, {_TEXT.format("content")} AS cluster
   FROM processed_posts WHERE source IS NOT NULL AND content IS NOT NULL),
 split AS (SELECT id, source, cluster, day, string_split(content, chr(10)) AS parts FROM posts),
 lines AS (SELECT id, source, cluster, day, CAST(n AS INTEGER) AS line_no, parts[n] AS line FROM split, UNNEST(range(1, len(parts) + 1)) AS r(n)),

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType, StructField, StructType
 
+from trendloom.functions.text import NO_TOPIC
 from trendloom.session import materialise, spread
 
 #: Cosine from which two records belong together; cells that a record lies in; k-means rounds; seeding rounds.
@@ -28,7 +29,7 @@ MOST_CELLS = 4096
 #: Rows of a cell that one task groups.
 CELL_ROWS = 20_000
 #: Numbers of the hashed label features, and their weight beside an embedding of length 1.
-HASHED, LABEL_WEIGHT = 16, 0.0
+HASHED, LABEL_WEIGHT = 16, 0.2
 
 
 def usable(vector: str = "embedding", size: int | None = None):
@@ -56,8 +57,9 @@ def vectorise(df: DataFrame, id_col: str, vector: str, labels: Sequence[str] = (
                 h = np.zeros((len(b), HASHED), np.float32)
                 for name in labels:
                     for n, label in enumerate(b[name]):
-                        if isinstance(label, str) and label.strip():
-                            code = zlib.crc32(f"{name}={label.strip().lower()}".encode())
+                        y = label.strip().lower().removeprefix("new:").strip() if isinstance(label, str) else ""
+                        if y not in NO_TOPIC:
+                            code = zlib.crc32(f"{name}={y}".encode())
                             h[n, code % HASHED] += weight * (1 if code >> 16 & 1 else -1)
                 x = unit(np.hstack([x, h]))
             yield pd.DataFrame({"id": b["id"].to_numpy(), "v": list(x)})

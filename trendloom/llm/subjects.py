@@ -159,7 +159,7 @@ def corpus_counts(docs: DataFrame, text: str, vocabulary: set[str]) -> Backgroun
         known, n = shared.value, Counter()
         for b in batches:
             for t in b["t"]:
-                for s in sentences(t):
+                for s in dict.fromkeys(sentences(t)):  # a sentence repeated within a document counts once
                     ws = words(s)
                     n[""] += len(ws)
                     n.update(w for w in ws if w in known)
