@@ -95,12 +95,12 @@ def engagement_quantiles(spark, d):
 
 
 @query("""WITH d AS (SELECT date_trunc('day', ingested_at) AS day, count(*) AS n, sum(interaction) AS s FROM posts_stream_v1 GROUP BY 1)
-SELECT strftime(c.day, '%Y-%m-%d') AS day, coalesce(n, 0) AS n, CAST(s AS BIGINT) AS interactions FROM (SELECT unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY)) AS day) c LEFT JOIN d USING (day)""")
+SELECT strftime(c.day, '%Y-%m-%d') AS day, coalesce(n, 0) AS n, CAST(coalesce(s, 0) AS BIGINT) AS interactions FROM (SELECT unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY)) AS day) c LEFT JOIN d USING (day)""")
 def daily_posts(spark, d):
     """Posts and interactions of each day; days without posts are kept."""
     n = table(spark, d, "posts_stream_v1").groupBy(F.to_date("ingested_at").alias("day")).agg(F.count("*").alias("n"), F.sum("interaction").alias("interactions"))
     days = n.agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day"))
-    return days.join(n, "day", "left").select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("n", F.lit(0)).alias("n"), "interactions")
+    return days.join(n, "day", "left").select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("interactions", F.lit(0)).alias("interactions"))
 
 
 @query(f"SELECT topic, count(*) FILTER (kind = 'social') AS social, count(*) FILTER (kind = 'news') AS news FROM {_POSTS} WHERE topic IS NOT NULL GROUP BY topic")
@@ -262,11 +262,11 @@ def line_summary(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("mean_discount"))
 
 
-@query("SELECT event_id, prev_id FROM (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_id FROM events)")
+@query("SELECT event_id, coalesce(prev_id, -1) AS prev_id FROM (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_id FROM events)")
 def previous_events(spark, d):
     """Each user's event before."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, d, "events").select("event_id", F.lag("event_id").over(w).alias("prev_id"))
+    return table(spark, d, "events").select("event_id", F.coalesce(F.lag("event_id").over(w), F.lit(-1)).alias("prev_id"))
 
 
 
