@@ -111,7 +111,8 @@ def canonical(text: str) -> str:
     return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
 
 
-_WORD = regex.compile(r"[\p{L}\p{M}]*[\p{Greek}\p{Cyrillic}\p{Armenian}ɑɡıɩ][\p{L}\p{M}]*")
+_WORD = regex.compile(r"[\p{L}\p{M}]+")
+_OTHER_LETTER = re.compile("[\u0370-\u058f\u1f00-\u1fffɑɡıɩ]")
 _LATIN = regex.compile(r"\p{Latin}")
 
 
@@ -121,12 +122,14 @@ def plain_letters(text: str) -> str:
 
     def word(m: regex.Match) -> str:
         w = m[0]
+        if not _OTHER_LETTER.search(w):
+            return w
         d = unicodedata.normalize("NFD", w)
         if _LATIN.search(w) or all(c in looks or unicodedata.combining(c) for c in d):
             return unicodedata.normalize("NFC", "".join(looks.get(c, c) for c in d))
         return w
 
-    return _WORD.sub(word, text)
+    return _WORD.sub(word, text) if _OTHER_LETTER.search(text) else text
 
 
 _LOOKS = re.compile(f"[\u0370-\u058f{OTHER}]")
