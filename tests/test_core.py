@@ -116,3 +116,19 @@ def test_bounded_broadcast(spark):
     df = spark.range(10)
     assert "broadcast" in str(bounded_broadcast(df, 10)._jdf.queryExecution().logical()).lower()
     assert "broadcast" not in str(bounded_broadcast(df, 9)._jdf.queryExecution().logical()).lower()
+
+
+def test_density():
+    import numpy as np
+
+    from trendloom.operators import density
+
+    r = np.random.default_rng(1)
+    x = np.vstack([r.normal(0, 0.05, (30, 2)), r.normal(3, 0.05, (20, 2)), r.uniform(-9, 9, (5, 2))])
+    label = density.density_labels(x, 3, 0.5, 5)
+    assert len(set(label[:30])) == 1 and len(set(label[30:50])) == 1 and label[0] != label[30] and (label[50:] == -1).all()
+    assert density.density_labels(x[:0], 3, 0.5, 5).size == 0
+    two = np.vstack([r.normal(0, 0.05, (40, 2)), r.normal([0.6, 0], 0.05, (40, 2))])
+    first = density.density_labels(two, 3, 0.6, 5)
+    again = density.split_again(two, first, 3, 0.6, 5, most_size=50, least_cohesion=0.0)
+    assert len(set(first)) == 1 and len(set(again[:40])) == 1 and again[0] != again[79]
