@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.session import bounded_broadcast, materialise
+from trendloom.session import bounded_broadcast, materialise, spread
 
 #: Minutes east of UTC of zone abbreviations that name one offset.
 ABBREVIATIONS = {
@@ -64,12 +64,12 @@ def _zone_minutes(zone: Column) -> Column:
     return F.when(name != "", F.try_element_at(table, name)).when((hours * 60 + minutes <= 14 * 60) & (minutes < 60), sign * (hours * 60 + minutes))
 
 
-def parse_fields(value: Column) -> Column:
-    """The fields of a value as an array of 11 strings, or null if no notation fits."""
+def rewritten(value: Column) -> Column:
+    """The fields of a value in one string, divided by bars; any other text if no notation fits."""
     x = F.trim(F.regexp_replace(value, r"[\s\p{Z}]+", " "))
     for pattern, fields in NOTATIONS:  # anchored: at most one rewrites the value
         x = F.regexp_replace(x, pattern, fields)
-    return F.when(x.rlike(r"^(?:ymd|dmy|src)\|"), F.split(x, r"\|", -1))
+    return x
 
 
 def _epoch_us(value: Column) -> Column:
@@ -150,10 +150,10 @@ def normalise_timestamps(df: DataFrame, sites: DataFrame, id_col: str, fields: S
     """
     spark = df.sparkSession
     sites = sites.select(F.col("source").cast("string").alias("__s_source"), "tz", "date_order").dropDuplicates(["__s_source"]).where("__s_source is not null")
-    long = df.select(
+    long = spread(df.select(id_col, *dict.fromkeys([*fields, source, ingested]))).select(
         F.col(id_col), F.col(source).cast("string").alias("__source"), F.unix_micros(F.col(ingested).cast("timestamp_ntz").cast("timestamp")).alias("__ingested_us"),
-        F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"), parse_fields(F.col(f).cast("string")).alias("f")) for f in fields])).alias("__x"),
-    ).select(id_col, "__source", "__ingested_us", "__x.field", "__x.value", F.col("__x.f").alias("__f"))
+        F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"), rewritten(F.col(f).cast("string")).alias("f")) for f in fields])).alias("__x"),
+    ).select(id_col, "__source", "__ingested_us", "__x.field", "__x.value", F.when(F.col("__x.f").rlike(r"^(?:ymd|dmy|src)\|"), F.split("__x.f", r"\|", -1)).alias("__f"))
     order = bounded_broadcast(sites.select("__s_source", "date_order"), max_sites)
     long = long.join(order, F.col("__source") == F.col("__s_source"), "left").drop("__s_source")
     long = readings(long, "value", "date_order")

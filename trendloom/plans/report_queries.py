@@ -155,7 +155,7 @@ def topic_sources(spark, d):
 def top_per_category(spark, d):
     """The ten highest trends of each category."""
     w = Window.partitionBy("category").orderBy(F.col("trend_score").desc_nulls_last(), "id")
-    return table(spark, d, "detected_trends").select("category", "id", F.row_number().over(w).alias("rank")).where("rank <= 10")
+    return table(spark, d, "detected_trends").select("category", "id", F.row_number().over(w).cast("bigint").alias("rank")).where("rank <= 10")
 
 
 @query("SELECT id, trend_name, round(trend_score, 6) AS trend_score FROM detected_trends WHERE trend_score >= 30 ORDER BY last_updated DESC, id LIMIT 50")
