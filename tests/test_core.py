@@ -132,3 +132,14 @@ def test_density():
     first = density.density_labels(two, 3, 0.6, 5)
     again = density.split_again(two, first, 3, 0.6, 5, most_size=50, least_cohesion=0.0)
     assert len(set(first)) == 1 and len(set(again[:40])) == 1 and again[0] != again[79]
+
+
+def test_article_parts_and_latest_file(spark, tmp_path):
+    import os
+
+    x = one(spark, readers.article_parts, "Lan\n\n12/10/2025, 10:00\nMở đầu.\nMột.\nHai.")
+    assert tuple(x) == ("Lan", "Mở đầu.", "Một.\nHai.")
+    for k, name in enumerate(("b.csv", "a.csv")):
+        (tmp_path / name).write_text(f"x\n{k}\n")
+        os.utime(tmp_path / name, (1_000_000 + k, 1_000_000 + k))
+    assert readers.latest_file(spark, str(tmp_path), header=True).first()["x"] == "1"

@@ -26,7 +26,7 @@ def top_matches(posts: DataFrame, trends: DataFrame, post_id: str, vector: str,
     All trends are one array that every post scans, so each post stays in its row: no join rows are made and nothing is
     shuffled but the trends. The trends must be at most ``MOST_TRENDS``. Of equal similarities the smaller id comes first.
     """
-    known = trends.agg(F.sort_array(F.collect_list(F.struct(F.col(trend_id).alias("t"), F.col(trend_vector).alias("v")))).alias("__trends"), F.count("*").alias("__n"))
+    known = trends.limit(MOST_TRENDS + 1).agg(F.sort_array(F.collect_list(F.struct(F.col(trend_id).alias("t"), F.col(trend_vector).alias("v")))).alias("__trends"), F.count("*").alias("__n"))
     known = known.select(F.when(F.col("__n") <= MOST_TRENDS, F.col("__trends")).otherwise(F.raise_error(F.lit(f"more than {MOST_TRENDS} trends"))).alias("__trends"))
     every = posts.crossJoin(F.broadcast(known))  # one row: the trends as a constant
     scored = F.transform("__trends", lambda x: F.struct((-vectors.cosine(F.col(vector), x["v"])).alias("neg"), x["t"].alias("t")))
@@ -79,10 +79,13 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, doc_words: str, query
     return p.select("w", doc_id, weight.alias("s")).join(asked, "w").groupBy(query_id, doc_id).agg(F.sum(F.col("s") * F.col("qtf")).alias("bm25"))
 
 
-def tf_idf(docs: DataFrame, doc_id: str, words: str, least_docs: int = 2, most_share: float = 0.95) -> DataFrame:
-    """``doc_id, w, weight``: unit-length weights tf * (ln((1 + N) / (1 + df)) + 1) of words in enough and not too many documents."""
-    tf = docs.select(doc_id, F.explode(words).alias("w")).groupBy(doc_id, "w").agg(F.count("*").alias("tf"))
-    total = docs.agg(F.count("*").alias("N"))
+def tf_idf(words: DataFrame, doc_id: str, word: str, least_docs: int = 2, most_share: float = 0.95) -> DataFrame:
+    """``doc_id, w, weight``: unit-length weights tf * (ln((1 + N) / (1 + df)) + 1) of words in enough and not too many documents.
+
+    ``words`` has one row for each occurrence, so that no document is ever one row.
+    """
+    tf = words.groupBy(doc_id, F.col(word).alias("w")).agg(F.count("*").alias("tf"))
+    total = words.agg(F.countDistinct(doc_id).alias("N"))
     df = tf.groupBy("w").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).where((F.col("df") >= least_docs) & (F.col("df") <= F.col("N") * most_share))
     raw = tf.join(df, "w").select(doc_id, "w", (F.col("tf") * (F.log((1 + F.col("N")) / (1 + F.col("df"))) + 1)).alias("x"))
     length = raw.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("len"))

@@ -297,3 +297,92 @@ def plane_map(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
     m = PCA(k=2, inputCol="v", outputCol="p").fit(e)
     return m.transform(e).select("vec_id", vector_to_array("p").alias("p"), F.lit(float(m.explainedVariance.toArray().sum())).alias("share"))
+
+
+_TOPIC_WORDS = f"""t AS (SELECT topic, w, count(*) AS tf FROM (SELECT topic, unnest({_words('content')}) AS w FROM {_PT}) GROUP BY ALL), n AS (SELECT count(DISTINCT topic) AS N FROM t),
+f AS (SELECT w, count(*) AS df FROM t GROUP BY w), x AS (SELECT topic, w, tf * (ln((1 + N) / (1 + df)) + 1) AS x FROM t JOIN f USING (w), n WHERE df >= 1 AND df <= N * 0.5),
+y AS (SELECT topic, w, round(x / sqrt(sum(x * x) OVER (PARTITION BY topic)), 6) AS weight FROM x)"""
+
+
+@query(f"WITH {_TOPIC_WORDS} SELECT topic, string_agg(w, ' ' ORDER BY r) AS name FROM (SELECT topic, w, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, w) AS r FROM y) WHERE r <= 2 GROUP BY topic")
+def topic_names(spark, d):
+    """The two words that mark each topic's posts, as its name."""
+    words = _topics(spark, d).select("topic", F.explode(tokens(F.col("content"))).alias("word"))
+    w = matching.tf_idf(words, "topic", "word", least_docs=1, most_share=0.5).withColumn("weight", F.round("weight", 6))
+    two = w.withColumn("r", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("weight"), "w"))).where("r <= 2")
+    return two.groupBy("topic").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "w"))), lambda x: x["w"]), " ").alias("name"))
+
+
+@query(f"SELECT id, min(id) OVER (PARTITION BY {_FOLD.format('trend_name')}) AS first_id FROM detected_trends WHERE trend_name IS NOT NULL")
+def consolidated_names(spark, d):
+    """Each trend with the smallest id of its name."""
+    t = table(spark, d, "detected_trends").where("trend_name IS NOT NULL").select("id", fold(F.col("trend_name")).alias("key"))
+    return t.join(t.groupBy("key").agg(F.min("id").alias("first_id")), "key").select("id", "first_id")
+
+
+@query(f"""WITH h AS (SELECT {_T} AS topic, msg_id > (SELECT max(msg_id) / 2 FROM posts_stream_v1) AS late, interaction FROM posts_stream_v1),
+a AS (SELECT topic, count(*) AS n, sum(interaction) AS s FROM h WHERE NOT late AND topic NOT IN {NO_TOPIC} GROUP BY topic), b AS (SELECT topic, count(*) AS n, sum(interaction) AS s FROM h WHERE late AND topic NOT IN {NO_TOPIC} GROUP BY topic)
+SELECT topic, coalesce(b.n, 0) - coalesce(a.n, 0) AS more_posts, CAST(coalesce(b.s, 0) - coalesce(a.s, 0) AS BIGINT) AS more_interactions FROM a FULL JOIN b USING (topic)""")
+def state_deltas(spark, d):
+    """What the second half of the stream has more of than the first, by topic."""
+    s = table(spark, d, "posts_stream_v1").withColumn("topic", topic_of(F.col("final_topic"))).where("topic IS NOT NULL")
+    half = table(spark, d, "posts_stream_v1").agg((F.max("msg_id") / 2).alias("half"))
+    sign = F.when(F.col("msg_id") > F.col("half"), 1).otherwise(-1)
+    return s.crossJoin(F.broadcast(half)).groupBy("topic").agg(F.sum(sign).alias("more_posts"), F.sum(sign * F.coalesce("interaction", F.lit(0))).alias("more_interactions"))
+
+
+@query("SELECT category, CASE category WHEN 'the-thao' THEN 'T5' WHEN 'giai-tri' THEN 'T5' WHEN 'suc-khoe' THEN 'T2' WHEN 'giao-duc' THEN 'T2' WHEN 'phap-luat' THEN 'T6' WHEN 'kinh-te' THEN 'T4' WHEN 'du-lich' THEN 'T7' ELSE 'Unclassified' END AS code, count(*) AS n FROM processed_posts GROUP BY ALL")
+def category_slugs(spark, d):
+    """Category slugs with their codes."""
+    codes = {"the-thao": "T5", "giai-tri": "T5", "suc-khoe": "T2", "giao-duc": "T2", "phap-luat": "T6", "kinh-te": "T4", "du-lich": "T7"}
+    known = F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])
+    return table(spark, d, "processed_posts").groupBy("category").agg(F.count("*").alias("n")).select("category", F.coalesce(F.try_element_at(known, "category"), F.lit("Unclassified")).alias("code"), "n")
+
+
+@query()
+def best_metrics(spark, d):
+    """Which of two groupings is better by each measure of agreement; of entropy less is better."""
+    from trendloom.plans.match_queries import label_agreement, topic_agreement
+
+    both = label_agreement(spark, d).withColumn("run", F.lit("labels")).unionByName(topic_agreement(spark, d).withColumn("run", F.lit("topics")))
+    long = both.unpivot("run", [c for c in both.columns if c != "run"], "metric", "value")
+    return long.groupBy("metric").agg(F.max_by("run", F.when(F.col("metric") == "entropy", -F.col("value")).otherwise(F.col("value"))).alias("best"))
+
+
+@query()
+def feedback_terms(spark, d):
+    """Ten further terms for each search from its three best articles, in the order of the articles' words."""
+    from trendloom.plans.match_queries import bm25_articles
+
+    a = table(spark, d, "news_articles").groupBy("url").agg(F.min(F.concat_ws(" ", "title", "short_description")).alias("x"))
+    w = bm25_articles(spark, d).join(a, "url").select("row_id", F.struct(-F.col("bm25"), "url", "x").alias("k"))
+    texts = w.groupBy("row_id").agg(F.transform(F.array_sort(F.collect_list("k")), lambda s: s["x"]).alias("xs"))  # three texts at most
+    return texts.select("row_id", F.slice(F.array_distinct(F.flatten(F.transform("xs", lambda x: tokens(x, 3)))), 1, 10).alias("terms"))
+
+
+@query()
+def post_keywords(spark, d):
+    """Up to five keywords of each article's headline: its longest words, each once."""
+    w = F.array_distinct(F.filter(tokens(F.col("title"), 3), lambda x: ~x.rlike(r"^\d+$")))
+    ranked = F.array_sort(F.transform(w, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("w"))))
+    return table(spark, d, "news_articles").select("article_id", F.slice(F.transform(ranked, lambda x: x["w"]), 1, 5).alias("keywords"))
+
+
+@query()
+def staged_stories(spark, d):
+    """Stories in three steps: news by density within their topic, social posts attached to the nearest story, the rest by density.
+
+    The labels of the last step follow those of the first; posts in none have -1.
+    """
+    size = 96
+    sites = table(spark, d, "source_sites").select("source", "kind")
+    usable = (F.size("embedding") == size) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x)) & F.exists("embedding", lambda x: x != 0)
+    p = _topics(spark, d).join(sites, "source").where(F.coalesce(usable, F.lit(False))).select("id", "topic", "kind", vectors.unit(F.col("embedding")).alias("v"))
+    own = density.density_clusters(p.where("kind = 'news'"), "id", "v", "topic", radius=0.8, most_size=5000, least_cohesion=0.0).where("cluster >= 0")
+    named = own.withColumn("story", F.concat_ws("#", F.col("topic"), F.col("cluster").cast("string"))).select("id", "story")
+    centres = matching.centroids(named.join(p, "id"), "story", "v", size)
+    near = matching.top_matches(p.where("kind = 'social'").select("id", "v"), centres, "id", "v", "story", "centroid", floor=0.65).select("id", "story")
+    rest = p.where("kind = 'social'").join(near, "id", "left_anti")
+    late = density.density_clusters(rest, "id", "v", "topic", radius=0.8, most_size=5000, least_cohesion=0.0)
+    late = late.select("id", F.when(F.col("cluster") >= 0, F.concat_ws("#", F.col("topic"), F.lit("rest"), F.col("cluster").cast("string"))).alias("story"))
+    return named.unionByName(near).unionByName(late).groupBy("story").agg(F.count("*").alias("n"))

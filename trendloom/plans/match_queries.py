@@ -87,8 +87,8 @@ def linear_match(spark: SparkSession, d: str) -> DataFrame:
 
 def tfidf_topics(spark: SparkSession, d: str) -> DataFrame:
     """The five words that mark each source's headlines."""
-    docs = table(spark, d, "news_articles").groupBy("source").agg(F.flatten(F.collect_list(tokens(F.col("title")))).alias("words"))
-    w = matching.tf_idf(docs, "source", "words").withColumn("weight", F.round("weight", 6))
+    words = table(spark, d, "news_articles").select("source", F.explode(tokens(F.col("title"))).alias("word"))
+    w = matching.tf_idf(words, "source", "word").withColumn("weight", F.round("weight", 6))
     return _first(w, "source", [F.desc("weight"), "w"], 5).select("source", "w", "weight")
 
 

@@ -49,17 +49,21 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parts(spark: SparkSession) -> int:
+    """Partitions for a stage in Python: adaptive execution joins shuffled ones by bytes, which leaves cores idle."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` in at least as many partitions as there are cores.
+    """``df``, a scan, in at least as many partitions as there are cores.
 
     A table of one small file comes as one partition, which would leave a Python stage on one core.
     At scale the scan already has more partitions than cores and nothing is shuffled.
     """
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
         return df
-    return df.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+    return df.repartition(parts(spark), *keys)
 
 
 def local_session(cores: int | str = 8, **conf: str) -> SparkSession:

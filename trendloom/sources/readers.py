@@ -146,3 +146,22 @@ def article_pages(df: DataFrame, url: str = "url", page: str = "html") -> DataFr
 
     src = df.select(F.col(url).alias("url"), F.col(page).alias("html"))
     return src.mapInPandas(run, "url string, title string, description string, author string, published_at string, content string")
+
+
+def latest_file(spark: SparkSession, path: str, kind: str = "csv", **options) -> DataFrame:
+    """The rows of the file that was changed last; of equal times the last by name."""
+    files = spark.read.format("binaryFile").load(path).select("path", "modificationTime")  # the contents aren't read
+    last = files.orderBy(F.desc("modificationTime"), F.desc("path")).first()
+    if last is None:
+        raise FileNotFoundError(path)
+    return spark.read.options(**options).format(kind).load(last["path"])
+
+
+def article_parts(text: Column) -> Column:
+    """``author, lead, body`` of an article's text: what stands before a line with a date, the line after it, and the rest."""
+    lines = F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != "")
+    dated = F.array_position(F.transform(lines, lambda x: x.rlike(r"\d{1,2}/\d{1,2}/\d{4}")), True)
+    at = dated.cast("int")
+    return F.struct(
+        F.when(at > 1, F.trim(F.element_at(lines, 1))).alias("author"), F.trim(F.get(lines, at)).alias("lead"), F.array_join(F.slice(lines, at + 2, F.greatest(F.size(lines) - at - 1, F.lit(0))), "\n").alias("body")
+    )
