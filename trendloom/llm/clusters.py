@@ -21,6 +21,7 @@ from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, Lon
 
 from trendloom.functions.text import NO_TOPIC
 from trendloom.session import materialise, spread
+from trendloom.session import parts as parts_of
 
 #: Cosine from which two records belong together; cells that a record lies in; k-means rounds; seeding rounds.
 SIMILAR, SPREAD, ROUNDS, SEEDING = 0.68, 4, 3, 4
@@ -240,7 +241,7 @@ def cluster(df: DataFrame, id_col: str = "id", vector: str = "embedding", labels
     all_rows = materialise(vectorise(good.where(F.size(vector) == length[0]["n"]), id_col, vector, labels))
     keyed = all_rows.select("id", "v", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2"))
     same = keyed.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.min_by("v", "id").alias("v"))
-    points = materialise(same.select(F.col("least").alias("id"), "v", "h1", "h2"))
+    points = materialise(same.select(F.col("least").alias("id"), "v", "h1", "h2").repartition(parts_of(spark), "id"))
     n = points.count()
     k = min(MOST_CELLS, max(1, round(1.0 * math.sqrt(n))))
     centres = k_means(points.select("id", "v"), k, seed=seed)
