@@ -25,8 +25,9 @@ from trendloom.session import parts as parts_of
 
 #: Cosine from which two records belong together; cells that a record lies in; k-means rounds; seeding rounds.
 SIMILAR, SPREAD, ROUNDS, SEEDING = 0.68, 4, 3, 4
-#: Centroids are held by the driver: at most so many, of the vectors' length (4,096 of 96 numbers are 1.6 MB).
-MOST_CELLS = 4096
+#: Centroids are held by the driver and sent to the workers: at most so many (65,536 of 112 numbers are 29 MB), so that cells grow
+#: with the square root of the records up to four billion of them.
+MOST_CELLS = 65_536
 #: Rows of a cell that one task groups.
 CELL_ROWS = 20_000
 #: Numbers of the hashed label features, and their weight beside an embedding of length 1.

@@ -29,7 +29,7 @@ SHARE = 0.5
 #: The items are held by the driver and sent to every worker; more than this is refused.
 MOST_ITEMS = 200_000
 
-_MARKS = re.compile("[̀-ͯ]+")
+_MARKS = re.compile("[\u0300-\u036f\u00ad\u200b-\u200f\u2060\ufeff]+")  # accents and what isn't seen
 _WORDS = re.compile(r"\w+")
 
 
