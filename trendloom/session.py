@@ -35,7 +35,7 @@ def own_folder(spark: SparkSession, kind: str) -> str:
     fs.mkdirs(p)
     fs.deleteOnExit(p)
     fs.delete(p, True)
-    return path
+    return fs.makeQualified(p).toString()  # with the scheme, for readers that don't know Spark's default
 
 
 def materialise(df: DataFrame) -> DataFrame:
