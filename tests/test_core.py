@@ -82,11 +82,11 @@ def test_readers(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps([{"content": "một bài viết đủ dài để giữ lại", "page_name": "P", "stats": {"likes": "1.2K", "comments": 3}}, {"text": "ngắn"}]), "utf-8")
     r = readers.social_posts(spark, str(tmp_path / "s.json")).collect()
     assert [(x["source"], x["stats"]["likes"], x["stats"]["comments"]) for x in r] == [("Face: P", 1200, 3)]
-    d = tmp_path / "vnx"
+    d = tmp_path / "paper"
     d.mkdir()
     (d / "n.csv").write_text('article_id,url,title,short_description,author,category,published_at,content\n1,u,T,s,a,c,2025,"x\ny ""z"""\n')
     a = readers.news_articles(spark, str(d)).first()
-    assert (a["source"], a["content"], a["text"]) == ("VNX", 'x\ny "z"', 'T\nx\ny "z"')
+    assert (a["source"], a["content"], a["text"]) == ("PAPER", 'x\ny "z"', 'T\nx\ny "z"')
     for stamp, vol in (("20250101-0000", "200+"), ("20250102-0000", "50 N+")):
         (tmp_path / f"trends_{stamp}.csv").write_text(f'Xu hướng,Lượng,Bắt đầu,Kết thúc,Từ\nbão,{vol},a,b,"bão, lũ"\n')
     x = readers.search_trends(spark, str(tmp_path / "trends_*.csv")).collect()
