@@ -25,9 +25,9 @@ from trendloom.session import spread
 #: Graded documents that the ranker is trained on: all up to this bound, then those of the smallest hashes of their ids.
 MOST_GRADED = 2_000
 #: Graded documents that must have a word or pair; passes of the optimiser; penalty; rounds of leaving out foreign sentences.
-LEAST_DOCUMENTS, STEPS, PENALTY, REFINED = 3, 120, 1e-3, 2
+LEAST_DOCUMENTS, STEPS, PENALTY, REFINED = 3, 80, 1e-3, 2
 #: Sentences of a level in the refining rounds, evenly taken.
-MOST_SENTENCES = 1_000
+MOST_SENTENCES = 500
 LEVELS = (1, 2, 3, 4)
 LEAST_WORDS = 40
 
