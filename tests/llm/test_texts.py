@@ -48,6 +48,36 @@ def test_cut_texts(spark):
     assert [tuple(x) for x in truncation.items_of(broken, "id", "reps").select("row_id", "pos", "broken_off").collect()] == [(1, 0, False), (1, 1, True)]
 
 
+def test_whole_texts_decide():
+    assert truncation.ending("a" + "." * 20 + "&#")[0] == truncation.ending("a" + "." * 800 + "&#")[0] == "broken"
+    assert truncation.ending("xem https://a.vn/" + "x" * 900)[0] == truncation.ending("xem https://a.vn/x")[0] == "closed"
+    assert truncation.ending("vui quá" + " #tag" * 20_000) == ("closed", "vui quá")
+    long_words = [f"{'từdài' * 12}{k}" for k in range(40)]
+    assert truncation.bands(" ".join(long_words)) == truncation.bands(" ".join([*long_words[:24], "khác"]))
+    assert truncation.bands(" ".join(long_words)) != truncation.bands(" ".join([*long_words[:23], "khác"]))
+
+
+def test_alignment_with_words_added_dropped_and_changed():
+    r = random.Random(11)
+    for _ in range(200):
+        long = [f"w{r.randrange(60)}" for _ in range(40)]
+        short = long[: r.randrange(12, 36)]
+        at = len(short)
+        kind, k = r.randrange(4), r.randrange(2, len(short) - 4)
+        if kind == 1:
+            short.insert(k, "thêm")
+        elif kind == 2:
+            del short[k]
+        elif kind == 3:
+            short[k] = "khác"
+        assert truncation.cut_at(short, long) == at
+    assert truncation.cut_at(long, long) is None and truncation.cut_at(["a"] * 9, long) is None and truncation.cut_at(long[:3], long) is None
+    whole = "The old lamp stands near the river and the bridge. The stone lies under the garden window today. All is well."
+    assert truncation.aligned_verdict("The old lamp now stands near the river and the bridge. The stone lies under the gar", whole) is True
+    assert truncation.aligned_verdict("The old lamp near the river and the bridge. The stone lies under the garden window", whole) is True
+    assert truncation.aligned_verdict("The old lamp stood near the river and the bridge. The stone lies under the garden window today", whole) is False or truncation.aligned_verdict("x y z a b", whole) is None
+
+
 # --- 3
 
 
@@ -126,6 +156,29 @@ def test_leaks_are_those_of_brute_force(spark):
     assert leakage.leaked_items(d.limit(0), it).count() == 0 and leakage.leaked_items(d, it.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("joined", [False, True])
+def test_leaks_of_which_little_is_kept(spark, monkeypatch, joined):
+    if joined:  # as for more items than workers can hold
+        monkeypatch.setattr(leakage, "MOST_WORDS", 100)
+        monkeypatch.setattr(leakage, "FILTER", 1 << 12)
+    r = random.Random(8)
+    pool, other = [f"từ{k}" for k in range(900)], [f"khác{k}" for k in range(3000)]
+    items = [(k, " ".join(r.choices(pool, k=r.choice([5, 60, 90])))) for k in range(60)]
+    docs, want = [], set()
+    for n in range(240):
+        ws = items[n % 60][1].split()
+        kept = set(r.sample(range(len(ws)), -(-55 * len(ws) // 100)))
+        body = [w if k in kept else r.choice(other) for k, w in enumerate(ws) if k in kept or n % 2]
+        docs.append((n, " ".join(r.choices(other, k=40) + body + r.choices(other, k=40))))
+        if len(ws) > 5:
+            want.add((n, n % 60))
+    docs += [(900, None), (901, ""), (902, " ".join(r.choices(pool[:3], k=4000)))]
+    d, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*items, (99, None), (98, "")], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in leakage.leaked_items(d, it).collect()}
+    assert len(got & want) >= 0.95 * len(want) and all(len(items[k][1].split()) == 5 for n, k in got - want)
+    assert leakage.leaked_items(d.limit(0), it).count() == 0 and leakage.leaked_items(d, it.limit(0)).count() == 0
+
+
 # --- 10
 
 
