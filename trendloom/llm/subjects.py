@@ -1,10 +1,11 @@
 """Subjects of documents by subject-specific interpolated n-gram language models.
 
-A model of words and pairs is trained for each subject on hand-labelled documents, interpolated with the model of the whole
-corpus; sentences of documents with several labels go to the label whose model fits best. A sentence of any document is
-held against a background, the balanced mixture of the subjects' models and so of the corpus: its subject is the one whose
-cross-entropies, word by word, save most bits, if they save a margin. The weight of the pairs, what the corpus lends to the models, and the margin are calibrated on
-labelled documents that the models have not seen.
+A model of words and pairs is trained for each subject on hand-labelled documents: a word's probability is interpolated of
+what the subject's documents have after the word before it, of what they have at all, and of the model of the whole corpus;
+sentences of documents with several labels go to the label whose model fits best. The cross-entropy of each token of a
+sentence is compared with that of a background model, the corpus's own or the balanced mixture of the subjects'; a sentence's
+subject is the one whose model saves most bits on its tokens, if they save a margin. Which weights, which background and which
+margin is calibrated on labelled documents that the models have not seen, a fold and a mixture to a task.
 """
 
 from __future__ import annotations
@@ -14,26 +15,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.llm.words import sentences, words
 from trendloom.session import spread
 
-#: (weight of pairs, words that the corpus lends a subject's model) tried; pairs and words are interpolated in every model.
-MIXTURES = ((0.0, 1000.0), (0.0, 3000.0), (0.05, 1000.0))
-#: Occurrences that the corpus lends to what follows a word; what is taken off each count of a subject's model.
-LENT_PAIRS, DISCOUNT = 5.0, 0.5
+#: (weight of pairs, tokens that the corpus lends to a subject's words, tokens that the subject's words lend to its pairs) tried.
+MIXTURES = ((0.1, 2000.0, 2000.0), (0.5, 1000.0, 2000.0))
+BACKGROUNDS = ("balanced", "corpus")
+#: Tokens that the corpus's words lend to its pairs; what is taken off each count of a subject's model.
+LENT_PAIRS, DISCOUNT = 2000.0, 0.5
 #: Labelled documents that the models are trained on: all up to this bound, then those of the smallest hashes of their ids.
 MOST_LABELLED = 20_000
-#: Margins tried: bits that a subject's model must save on a sentence, its cross-entropies summed over the words.
-MARGINS = tuple(np.arange(1.0, 20.1, 0.5).tolist())
+#: Margins tried: bits that a subject's model must save on a sentence, its cross-entropies summed over the tokens.
+LEAST_MARGIN, MOST_MARGIN = 1.0, 25.0
 #: Several sentences on a subject are enough, too, if they save so many margins together; sentences below LEAST_BITS don't count.
 TOGETHER, LEAST_BITS = (1.25, 1.5, 2.0, 9.0), 2.0
 FOLDS = 4
 KEPT = 500_000
 START = "<s>"
 
+Mixture = tuple[float, float, float]
+
 
 class Background:
     """The model of the whole corpus: counts of words and pairs, as far as the labelled documents have them."""
@@ -45,16 +49,16 @@ class Background:
         return (self.counts.get(w, 0) + 0.5) / (self.total + 1)
 
     def pair(self, v: str, w: str) -> float:
-        return min(1.0, self.counts.get(f"{v} {w}", 0) / max(1, self.counts.get(v, 0)))
+        return (self.counts.get(f"{v} {w}", 0) + LENT_PAIRS * self.word(w)) / (self.counts.get(v, 0) + LENT_PAIRS)
 
 
 class SubjectModels:
     """The models of all subjects, and what each word in its context says for each of them."""
 
-    def __init__(self, labelled: list[tuple[list[list[str]], list[str]]], background: Background, mixture: tuple[float, float]):
+    def __init__(self, labelled: list[tuple[list[list[str]], list[str]]], background: Background, mixture: Mixture, held_to: str = BACKGROUNDS[0]):
         self.subjects = sorted({s for _, ls in labelled for s in ls})
         self.place = {s: k for k, s in enumerate(self.subjects)}
-        self.background, self.mixture = background, mixture
+        self.background, self.mixture, self.held_to = background, mixture, held_to
         self.margin, self.together = 10.0, TOGETHER[-1]
         one = [(ws, ls[0]) for ss, ls in labelled if len(ls) == 1 for ws in ss]
         self._train(one)
@@ -76,14 +80,16 @@ class SubjectModels:
         self._rows: list[np.ndarray] = []
 
     def _gain(self, v: str, w: str) -> np.ndarray:
-        """Bits that each subject's model saves over the balanced mixture of all of them, which a hot subject can't dominate."""
-        get, none, (pairs, lent) = self.counts.get, self.none, self.mixture
-        base = self.background.word(w)
-        p = (1 - pairs) * (np.maximum(get((w,), none) - DISCOUNT, 0) + lent * base) / (get((), none) + lent)
-        if pairs:
-            base = self.background.pair(v, w)
-            p = p + pairs * (np.maximum(get((v, w), none) - DISCOUNT, 0) + LENT_PAIRS * base) / (get(("", v), none) + LENT_PAIRS)
-        return np.log2(p / p.mean())
+        """Bits that each subject's model saves over the background on the token ``w`` after ``v``.
+
+        The balanced background is the mean of the subjects' models, which a hot subject can't dominate.
+        """
+        get, none, (pairs, lent, lent_pairs) = self.counts.get, self.none, self.mixture
+        words = (np.maximum(get((w,), none) - DISCOUNT, 0) + lent * self.background.word(w)) / (get((), none) + lent)
+        after = (np.maximum(get((v, w), none) - DISCOUNT, 0) + lent_pairs * words) / (get(("", v), none) + lent_pairs)
+        p = (1 - pairs) * words + pairs * after
+        base = p.mean() if self.held_to == "balanced" else (1 - pairs) * self.background.word(w) + pairs * self.background.pair(v, w)
+        return np.log2(p / base)
 
     def gains(self, ws: list[str]) -> np.ndarray:
         """Bits that each subject's model saves over the background on a sentence."""
@@ -99,54 +105,73 @@ class SubjectModels:
             total += self._rows[at]
         return total
 
-    def evidence(self, text: str | None) -> list[tuple[int, float, int]]:
-        """(subject, gain, words) of each sentence of a text, by its best subject."""
+    def evidence(self, parts: list[list[str]]) -> list[tuple[int, float, int]]:
+        """(subject, bits saved, words) of each sentence of a text, by its best subject."""
         out = []
-        for s in sentences(text):
-            ws = words(s)
-            if ws and self.subjects:
+        for ws in parts:
+            if self.subjects:
                 g = self.gains(ws)
                 k = int(g.argmax())
                 out.append((k, float(g[k]), len(ws)))
         return out
 
-    def accept(self, evidence: list[tuple[int, float, int]], margin: float | None = None, together: float | None = None) -> dict[str, int]:
+    def reach(self, evidence: list[tuple[int, float, int]], together: float) -> dict[int, float]:
+        """The margin up to which each subject is accepted: by one sentence, or by several together."""
+        most, bits = defaultdict(float), Counter()
+        for k, gain, _ in evidence:
+            most[k] = max(most[k], gain)
+            if gain >= LEAST_BITS:
+                bits[k] += gain
+        return {k: max(m, bits[k] / together) for k, m in most.items()}
+
+    def accept(self, evidence: list[tuple[int, float, int]]) -> dict[str, int]:
         """The subjects that a document's sentences speak of, with the words spent on each."""
-        margin = self.margin if margin is None else margin
-        together = self.together if together is None else together
-        size: Counter[int] = Counter()
-        bits: Counter[int] = Counter()
-        sure = set()
+        size, least = Counter(), min(LEAST_BITS, self.margin)
         for k, gain, n in evidence:
-            if gain >= LEAST_BITS:
+            if gain >= least:
                 size[k] += n
-                bits[k] += gain
-            if gain >= margin:
-                sure.add(k)
-        return {self.subjects[k]: size[k] for k in sorted(size) if k in sure or bits[k] >= together * margin}
-
-
-def calibrated(labelled: list[tuple[str, list[str]]], background: Background) -> SubjectModels:
-    """Models of all labelled documents, with the mixture and the margin that do best on held-out folds."""
-    rows = [([words(s) for s in sentences(t)], ls) for t, ls in labelled]
-    score: Counter[tuple[tuple[float, float], float, float]] = Counter()
-    if len(rows) >= 2 * FOLDS:
-        for f in range(FOLDS):
-            for mixture in MIXTURES:
-                part = SubjectModels([r for n, r in enumerate(rows) if n % FOLDS != f], background, mixture)
-                for text, ls in labelled[f::FOLDS]:
-                    e = part.evidence(text)
-                    for m in MARGINS:
-                        for x in TOGETHER:
-                            got = part.accept(e, m, x)
-                            score[mixture, x, m] += 2 * len(set(got) & set(ls)) - len(got)  # a case found counts as much as a false one
-    if not score:
+        return {self.subjects[k]: size[k] for k, m in sorted(self.reach(evidence, self.together).items()) if m >= self.margin}
+
+
+def tokens(text: str | None) -> list[list[str]]:
+    return [ws for s in sentences(text) if (ws := words(s))]
+
+
+def calibrated(spark: SparkSession, rows: list[tuple[list[list[str]], list[str]]], background: Background) -> SubjectModels:
+    """Models of all labelled documents, with the mixture, background and margin that do best on held-out folds."""
+    if len(rows) < 2 * FOLDS:
+        return SubjectModels(rows, background, MIXTURES[0])
+    shared = spark.sparkContext.broadcast((rows, background))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for f, m in zip(b["fold"], b["mixture"]):
+                rows, background = shared.value
+                for held_to in BACKGROUNDS:
+                    part = SubjectModels([r for n, r in enumerate(rows) if n % FOLDS != f], background, MIXTURES[m], held_to)
+                    out = []
+                    for parts, ls in rows[f::FOLDS]:
+                        e = part.evidence(parts)
+                        out += [(m, held_to, x, t, part.subjects[k] in ls) for x in TOGETHER for k, t in part.reach(e, x).items()]
+                    yield pd.DataFrame(out, columns=["mixture", "held_to", "together", "reach", "hit"])
+
+    tasks = spark.createDataFrame([(f, m) for f in range(FOLDS) for m in range(len(MIXTURES))], "fold int, mixture int").repartition(FOLDS * len(MIXTURES), "fold", "mixture")
+    tried = tasks.mapInPandas(run, "mixture int, held_to string, together double, reach double, hit boolean").toPandas()  # a row for each labelled document and subject at most
+    choices = []
+    for key, t in tried.groupby(["mixture", "held_to", "together"]):
+        t = t.sort_values("reach", ascending=False)
+        reach = t["reach"].to_numpy()
+        score = np.cumsum(np.where(t["hit"], 1, -1))  # a case found counts as much as a false one
+        some = np.flatnonzero((reach >= LEAST_MARGIN) & (reach <= MOST_MARGIN))
+        if len(some):
+            top = score[some].max()
+            plateau = reach[some][score[some] >= top - 0.005 * len(rows)]
+            choices.append((int(top), -BACKGROUNDS.index(key[1]), key[2], -key[0], float(np.median(plateau))))
+    if not choices:
         return SubjectModels(rows, background, MIXTURES[0])
-    top = max(score.values())
-    mixture, together = next((x, y) for x in MIXTURES for y in reversed(TOGETHER) if any(score[x, y, m] == top for m in MARGINS))
-    plateau = [m for m in MARGINS if score[mixture, together, m] >= top - 0.005 * len(rows)]
-    models = SubjectModels(rows, background, mixture)
-    models.margin, models.together = plateau[len(plateau) // 2], together
+    _, held_to, together, mixture, margin = max(choices)
+    models = SubjectModels(rows, background, MIXTURES[-mixture], BACKGROUNDS[-held_to])
+    models.margin, models.together = margin, together
     return models
 
 
@@ -179,14 +204,13 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label_id: st
     own = own.orderBy(F.xxhash64("__id"), "__id").limit(MOST_LABELLED)
     texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("t")).where("t IS NOT NULL")
     rows = own.join(texts, "__id").orderBy(F.xxhash64("__id"), "__id", "t").select("t", "ls").collect()
-    labelled = [(r["t"], list(r["ls"])) for r in rows]
+    labelled = [(tokens(r["t"]), list(r["ls"])) for r in rows]
     vocabulary: set[str] = set()
-    for t, _ in labelled:
-        for s in sentences(t):
-            ws = words(s)
+    for parts, _ in labelled:
+        for ws in parts:
             vocabulary.update(ws)
             vocabulary.update(map(" ".join, zip([START, *ws], ws)))
-    return calibrated(labelled, corpus_counts(docs, text, vocabulary))
+    return calibrated(docs.sparkSession, labelled, corpus_counts(docs, text, vocabulary))
 
 
 def assign_subjects(docs: DataFrame, labels: DataFrame, doc_id: str = "id", text: str = "content", label_id: str = "post_id", subject: str = "subject") -> DataFrame:
@@ -205,7 +229,7 @@ def assign_subjects(docs: DataFrame, labels: DataFrame, doc_id: str = "id", text
         for b in batches:
             out = []
             for i, t in zip(b["id"], b["t"]):
-                out += [(i, s, n) for s, n in m.accept(m.evidence(t)).items()]
+                out += [(i, s, n) for s, n in m.accept(m.evidence(tokens(t))).items()]
             yield pd.DataFrame(out, columns=["id", "subject", "n_words"])
 
     src = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t")).where("t IS NOT NULL")
