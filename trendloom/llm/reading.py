@@ -12,6 +12,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
+from operator import mul
 
 import numpy as np
 import pandas as pd
@@ -25,20 +27,21 @@ from trendloom.session import spread
 #: Graded documents that the ranker is trained on: all up to this bound, then those of the smallest hashes of their ids.
 MOST_GRADED = 2_000
 #: Graded documents that must have a word or pair; passes of the optimiser; penalty; rounds of leaving out foreign sentences.
-LEAST_DOCUMENTS, STEPS, PENALTY, REFINED = 3, 80, 1e-3, 2
-#: Sentences of a level in the refining rounds, evenly taken.
-MOST_SENTENCES = 500
+LEAST_DOCUMENTS, STEPS, PENALTY, REFINED = 3, 120, 1e-3, 2
+#: Documents or sentences whose pairs make one step's gradient; if there are more, the steps take them in turn.
+BATCH = 2_000
 LEVELS = (1, 2, 3, 4)
 LEAST_WORDS = 40
 
 #: Words that string whole sentences together: what stands between them is taken by itself, so that length alone says little.
-_STRUNG = re.compile(r"\s+(?:rồi|and then)\s+")
+_STRUNG = re.compile(r"\s+(?:rồi|thế là|sau đó|and then|and so|but then)\s+")
 #: Weight of the syntax beside the vocabulary.
 SYNTAX = 0.3
 #: Power of its words by which a sentence's vocabulary is divided.
 NORM = 0.5
 
-_MARKS = [re.compile(p) for p in (r"[,]", r"[;:—–]", r"\d", r"[\"“”«»]", r"\?", r"!", r"[()]")]
+#: Marks counted for the syntax; figures, too.
+_MARKS = (",", ";:—–", "0123456789", "\"“”«»", "?", "!", "()")
 #: UTF-8 read as a one-byte encoding: a lead byte as a capital letter or so, with what its followers become.
 _FOLLOWER = "[\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]"
 MANGLED = f"[Â-ß]{_FOLLOWER}|[à-ï]{_FOLLOWER}{{2}}|[ð-ô]{_FOLLOWER}{{3}}"
@@ -60,10 +63,50 @@ def clauses(text: str | None) -> list[tuple[str, list[str]]]:
 
 
 def _syntax(sentence: str, ws: list[str]) -> list[float]:
-    plain = [w for w in ws if w not in ("0", "<n>")]
-    size = [len(w) for w in plain] or [0]
-    n = len(ws)
-    return [SYNTAX * x for x in (n / 20, min(n, 60) ** 0.5 / 4, sum(size) / len(size) / 5, sum(s > 6 for s in size) / len(size), sum(w == "<n>" for w in ws) / n, *[min(3, len(m.findall(sentence))) / 3 for m in _MARKS])]
+    size = [len(w) for w in ws if w != "0" and w != "<n>"] or [0]
+    n, names = len(ws), ws.count("<n>")
+    count = sentence.count
+    return [SYNTAX * x for x in (n / 20, min(n, 60) ** 0.5 / 4, sum(size) / len(size) / 5, len([s for s in size if s > 6]) / len(size), names / n, *[min(3, sum(map(count, m))) / 3 for m in _MARKS])]
+
+
+Clause = tuple[str, list[str]]
+
+
+class _Rows:
+    """Rows of features: the dense syntax, and the vocabulary as places and values, row by row."""
+
+    def __init__(self, docs: list[list[Clause]], vocabulary: dict):
+        self.syntax = np.zeros((len(docs), 5 + len(_MARKS)))
+        cols, values, self.count = [], [], np.zeros(len(docs), np.int64)
+        for n, d in enumerate(docs):
+            total = sum(len(ws) for _, ws in d)
+            for s, ws in d:
+                share = len(ws) / total
+                self.syntax[n] += np.array(_syntax(s, ws)) * share
+                own = [k for g in grams(ws) if (k := vocabulary.get(g)) is not None]
+                cols += own
+                values += [share / len(ws) ** NORM] * len(own)
+                self.count[n] += len(own)
+        self.cols, self.values = np.array(cols, np.int64), np.array(values)
+        self.first = np.cumsum(self.count) - self.count
+
+    def gradient(self, own: np.ndarray, level: np.ndarray, w: np.ndarray) -> np.ndarray | None:
+        """The gradient of the mean logistic loss over all pairs of the rows ``own``."""
+        n_syntax, count = self.syntax.shape[1], self.count[own]
+        at = np.repeat(self.first[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        cols, values, row = self.cols[at], self.values[at], np.repeat(np.arange(len(own)), count)
+        s = self.syntax[own] @ w[:n_syntax] + np.bincount(row, values * w[n_syntax + cols], len(own))
+        higher = level[own][:, None] > level[own][None, :]
+        if not higher.any():
+            return None
+        p = higher / (1 + np.exp(np.clip(s[:, None] - s[None, :], -30, 30).astype(np.float32)))
+        g = (p.sum(axis=1) - p.sum(axis=0)) / higher.sum()
+        return -np.r_[self.syntax[own].T @ g, np.bincount(cols, values * g[row], len(w) - n_syntax)]
+
+
+def grams(ws: list[str]) -> list:
+    """The words, and the pairs of words that follow each other."""
+    return [*ws, *zip(["<s>", *ws], ws)]
 
 
 class ReadingLevels:
@@ -73,21 +116,20 @@ class ReadingLevels:
         docs = [clauses(t) for t, _ in graded]
         keep = [n for n, d in enumerate(docs) if d]
         docs, level = [docs[n] for n in keep], np.array([graded[n][1] for n in keep])
-        have = Counter(g for d in docs for g in {g for _, ws in d for g in self.grams(ws)})
+        have = Counter(g for d in docs for g in {g for _, ws in d for g in grams(ws)})
         least = max(LEAST_DOCUMENTS, len(docs) // 200)
-        self.vocabulary = {g: k for k, g in enumerate(sorted(g for g, n in have.items() if n >= least))}
-        self.weights: dict[str, float] = {}
+        self.vocabulary = {g: k for k, g in enumerate(sorted((g for g, n in have.items() if n >= least), key=lambda g: g if isinstance(g, tuple) else (g,)))}
+        self.words: dict[str, float] = {}
+        self.pairs: dict[tuple[str, str], float] = {}
         self.cuts = np.array([-1.0, 0.0, 1.0])
-        self.syntax = np.zeros(5 + len(_MARKS))
+        self.syntax = [0.0] * (5 + len(_MARKS))
         if len(set(level.tolist())) < 2:
             self.cuts = np.array([np.inf if level.size == 0 or l > level[0] else -np.inf for l in LEVELS[1:]])
             return
         kept = [[True] * len(d) for d in docs]
         for round_ in range(REFINED + 1):
             if round_:  # pairs of sentences that stand for their documents' grades
-                own = [(l, n, x) for l, d, ks in zip(level.tolist(), docs, kept) for n, (x, k) in enumerate(zip(d, ks)) if k]
-                most = {l: max(1, sum(a == l for a, _, _ in own) // MOST_SENTENCES + 1) for l in LEVELS}
-                own = [(l, x) for m, (l, _, x) in enumerate(own) if m % most[l] == 0]
+                own = [(l, x) for l, d, ks in zip(level.tolist(), docs, kept) for x, k in zip(d, ks) if k]
                 self._rank([[x] for _, x in own], np.array([l for l, _ in own]))
             else:
                 self._rank(docs, level)
@@ -98,37 +140,26 @@ class ReadingLevels:
                 own = [abs(1 + np.searchsorted(self.cuts, s, "right") - l) < REFINED - round_ for s, l in zip(scores, level)]
                 kept = [o.tolist() if o.any() else k for o, k in zip(own, kept)]
 
-    @staticmethod
-    def grams(ws: list[str]) -> list[str]:
-        return [*ws, *map(" ".join, zip(["<s>", *ws], ws))]
-
-    def _rank(self, docs: list[list[tuple[str, list[str]]]], level: np.ndarray) -> None:
-        n_syntax = len(self.syntax)
-        x = np.zeros((len(docs), n_syntax + len(self.vocabulary)), np.float32)
-        for n, d in enumerate(docs):
-            total = sum(len(ws) for _, ws in d)
-            for s, ws in d:
-                share = len(ws) / total
-                x[n, :n_syntax] += np.array(_syntax(s, ws), np.float32) * share
-                for g in self.grams(ws):
-                    k = self.vocabulary.get(g)
-                    if k is not None:
-                        x[n, n_syntax + k] += share / len(ws) ** NORM
-        higher = level[:, None] > level[None, :]
-        pairs = higher.sum()
-        w, m, v = np.zeros(x.shape[1], np.float32), 0.0, 0.0
-        for step in range(1, STEPS + 1):  # Adam on the mean logistic loss of all pairs
-            s = (x @ w).astype(np.float32)
-            p = higher / (np.float32(1) + np.exp(np.clip(s[:, None] - s[None, :], -30, 30)))
-            g = -(x.T @ (p.sum(axis=1) - p.sum(axis=0)).astype(np.float32)) / pairs + PENALTY * w
+    def _rank(self, docs: list[list[Clause]], level: np.ndarray) -> None:
+        rows, n_syntax = _Rows(docs, self.vocabulary), len(self.syntax)
+        order = np.random.default_rng(13).permutation(len(docs))
+        parts = np.array_split(order, -(-len(docs) // BATCH))
+        w = np.zeros(n_syntax + len(self.vocabulary))
+        m, v = np.zeros_like(w), np.zeros_like(w)
+        for step in range(1, max(STEPS, 3 * len(parts)) + 1):  # Adam; every row takes part
+            g = rows.gradient(parts[step % len(parts)], level, w)
+            if g is None:
+                continue
+            g += PENALTY * w
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             w = w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        self.syntax = w[:n_syntax].astype(float)
-        self.weights = {g: float(w[n_syntax + k]) for g, k in self.vocabulary.items()}
+        self.syntax = w[:n_syntax].tolist()
+        self.words = {g: float(w[n_syntax + k]) for g, k in self.vocabulary.items() if isinstance(g, str)}
+        self.pairs = {g: float(w[n_syntax + k]) for g, k in self.vocabulary.items() if isinstance(g, tuple)}
 
     def score(self, sentence: str, ws: list[str]) -> float:
-        get = self.weights.get
-        return float(np.dot(self.syntax, _syntax(sentence, ws))) + sum(get(g, 0.0) for g in self.grams(ws)) / len(ws) ** NORM
+        syntax = sum(map(mul, self.syntax, _syntax(sentence, ws)))
+        return syntax + (sum(map(self.words.get, ws, repeat(0.0))) + sum(map(self.pairs.get, zip(["<s>", *ws], ws), repeat(0.0)))) / len(ws) ** NORM
 
     def _calibrate(self, scores: list[np.ndarray], size: list[np.ndarray], level: np.ndarray, kept: list[list[bool]]) -> None:
         keep = np.concatenate([np.array(k) for k in kept])
