@@ -64,16 +64,27 @@ def _zone_minutes(zone: Column) -> Column:
     return F.when(name != "", F.try_element_at(table, name)).when((hours * 60 + minutes <= 14 * 60) & (minutes < 60), sign * (hours * 60 + minutes))
 
 
-def rewritten(value: Column) -> Column:
-    """The fields of a value in one string, divided by bars; any other text if no notation fits."""
-    x = F.trim(F.regexp_replace(value, r"[\s\p{Z}]+", " "))
-    for pattern, fields in NOTATIONS:  # anchored: at most one rewrites the value
-        x = F.regexp_replace(x, pattern, fields)
-    return x
+#: How a value of each notation begins; no value of another notation does.
+BEGINNINGS = (
+    r"^\d{4}[-/]", r"^\d{1,2}[-/.]", r"^\d{1,2}:", r"^(?i:lúc)\s", r"^(?i:ngày\s+)?\d{1,2}\s+(?i:tháng)", r"^(?i:thứ|chủ)\s",
+    r"^(?:[A-Za-z]{3,9},?\s+)?\d{1,2}\s+[A-Za-z]", r"^[A-Za-z]{3}",
+)
+
+
+def cleaned(value: Column) -> Column:
+    """A value with single blanks."""
+    return F.trim(F.regexp_replace(value, r"[\s\p{Z}]+", " "))
+
+
+def rewritten(x: Column) -> Column:
+    """The fields of a cleaned value in one string, divided by bars; any other text if no notation fits."""
+    out = F.when(F.lit(False), x)
+    for begins, (pattern, fields) in zip(BEGINNINGS, NOTATIONS):  # the beginning tells which one pattern is worth a try
+        out = out.when(x.rlike(begins), F.regexp_replace(x, pattern, fields))
+    return out
 
 
-def _epoch_us(value: Column) -> Column:
-    x = F.trim(F.regexp_replace(value, r"[\s\p{Z}]+", " "))
+def _epoch_us(x: Column) -> Column:
     n = x.try_cast("bigint")
     size = F.length(x)
     whole = (
@@ -85,7 +96,7 @@ def _epoch_us(value: Column) -> Column:
 
 
 def readings(df: DataFrame, value: str, date_order: str) -> DataFrame:
-    """Adds ``__epoch_us``, ``__local_us`` (the clock reading as if it were UTC), ``__offset_min`` and ``__region`` of a value whose fields are in ``__f``."""
+    """Adds ``__epoch_us``, ``__local_us`` (the clock reading as if it were UTC), ``__offset_min`` and ``__region`` of a cleaned value whose fields are in ``__f``."""
     f = F.col("__f")
     hour, ampm = _int(f[4]), F.upper(f[8])
     hour = F.when(ampm == "", hour).when(hour.between(1, 12), hour % 12 + F.when(ampm.isin("PM", "CH"), 12).otherwise(0))
@@ -127,7 +138,9 @@ def estimate_zones(df: DataFrame, sites: DataFrame, source: str, local_us: str,
     shuffle, so a hot source costs one row a task.
     """
     spark = df.sparkSession
-    zones = sorted({*candidates, *(r[0] for r in sites.select("tz").where("tz is not null").distinct().limit(1000).collect())} & set(known_zones(spark)))
+    known = known_zones(spark)
+    named = sites.select("tz").where(F.col("tz").isin(known)).distinct().collect()  # at most the zones there are
+    zones = sorted({*candidates, *(r[0] for r in named)} & set(known))
     one = df.where(F.col(source).isNotNull() & F.col(local_us).isNotNull() & F.col(ingested_us).isNotNull())
     each = one.select(F.col(source).alias("source"), F.col(local_us).alias("l"), F.col(ingested_us).alias("i"), F.explode(F.array(*map(F.lit, zones))).alias("z"))
     lag = (F.col("i") - F.unix_micros(F.to_utc_timestamp(F.timestamp_micros("l"), F.col("z")))) / 3.6e9
@@ -150,13 +163,15 @@ def normalise_timestamps(df: DataFrame, sites: DataFrame, id_col: str, fields: S
     """
     spark = df.sparkSession
     sites = sites.select(F.col("source").cast("string").alias("__s_source"), "tz", "date_order").dropDuplicates(["__s_source"]).where("__s_source is not null")
-    long = spread(df.select(id_col, *dict.fromkeys([*fields, source, ingested]))).select(
+    each = spread(df.select(id_col, *dict.fromkeys([*fields, source, ingested]))).select(
         F.col(id_col), F.col(source).cast("string").alias("__source"), F.unix_micros(F.col(ingested).cast("timestamp_ntz").cast("timestamp")).alias("__ingested_us"),
-        F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"), rewritten(F.col(f).cast("string")).alias("f")) for f in fields])).alias("__x"),
-    ).select(id_col, "__source", "__ingested_us", "__x.field", "__x.value", F.when(F.col("__x.f").rlike(r"^(?:ymd|dmy|src)\|"), F.split("__x.f", r"\|", -1)).alias("__f"))
+        F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("__x"),
+    )
+    each = each.select(id_col, "__source", "__ingested_us", "__x.field", "__x.value", cleaned(F.col("__x.value")).alias("__t")).withColumn("__r", rewritten(F.col("__t")))
+    each = each.withColumn("__f", F.when(F.col("__r").rlike(r"^(?:ymd|dmy|src)\|"), F.split("__r", r"\|", -1))).drop("__r")
     order = bounded_broadcast(sites.select("__s_source", "date_order"), max_sites)
-    long = long.join(order, F.col("__source") == F.col("__s_source"), "left").drop("__s_source")
-    long = readings(long, "value", "date_order")
+    long = each.join(order, F.col("__source") == F.col("__s_source"), "left").drop("__s_source")
+    long = materialise(readings(long, "__t", "date_order").drop("__t", "date_order"))  # every value is parsed once
     plain = long.where(F.col("__offset_min").isNull() & F.col("__region").isNull())
     zones = estimate_zones(plain, sites.select(F.col("__s_source").alias("source"), "tz"), "__source", "__local_us", "__ingested_us")
     # written once: counting and joining it would estimate it twice
