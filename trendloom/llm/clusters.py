@@ -138,29 +138,37 @@ def k_means(vectors: DataFrame, k: int, rounds: int = ROUNDS, seeding: int = SEE
     return centres
 
 
-def _weighted(points: np.ndarray, weight: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """k centres of weighted points on the driver: k-means++ choice, then a few passes."""
+def _weighted(points: np.ndarray, weight: np.ndarray, k: int, seed: int, block: int = 1024) -> np.ndarray:
+    """k centres of weighted points on the driver: a k-means++ choice, a few at a time, then two passes.
+
+    Products are taken in blocks of ``block`` rows: beside the points (2k of them) at most ``block * k`` numbers are in memory.
+    """
     rng = np.random.default_rng(seed)
-    chosen = [int(weight.argmax())]
-    near = np.maximum(1 - points @ points[chosen[0]], 0)
+    points = points.astype(np.float32)
+    chosen = np.array([int(weight.argmax())])
+    near = np.maximum(1 - points @ points[chosen[0]], 0).astype(float)
     while len(chosen) < k:
         p = near * weight
-        if p.sum() <= 0:
+        some = np.count_nonzero(p)
+        if not some:
             break
-        chosen.append(int(rng.choice(len(points), p=p / p.sum())))
-        near = np.minimum(near, np.maximum(1 - points @ points[chosen[-1]], 0))
+        more = rng.choice(len(points), min(max(1, k // 64), k - len(chosen), some), replace=False, p=p / p.sum())
+        chosen = np.r_[chosen, more]
+        for at in range(0, len(points), block):
+            near[at : at + block] = np.minimum(near[at : at + block], np.maximum(1 - (points[at : at + block] @ points[more].T).max(axis=1), 0))
+        near[more] = 0
     c = points[chosen]
-    for _ in range(5):
-        best = (points @ c.T).argmax(axis=1)
-        s = np.zeros_like(c)
+    for _ in range(2):
+        best = np.concatenate([(points[at : at + block] @ c.T).argmax(axis=1) for at in range(0, len(points), block)])
+        s = np.zeros(c.shape)
         np.add.at(s, best, points * weight[:, None])
         norm = np.linalg.norm(s, axis=1)
-        c = np.where(norm[:, None] > 0, s / np.maximum(norm, 1e-12)[:, None], c)
+        c = np.where(norm[:, None] > 0, s / np.maximum(norm, 1e-12)[:, None], c).astype(np.float32)
     return c
 
 
-def leader_groups(ids: np.ndarray, x: np.ndarray, similar: float, block: int = 1024) -> np.ndarray:
-    """The smallest id of each vector's group; groups are the connected leaders' surroundings.
+def leader_groups(ids: np.ndarray, x: np.ndarray, similar: float, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest id of each vector's group, and which vectors are leaders; groups are the connected leaders' surroundings.
 
     A leader takes every vector within ``similar``, so a cell that is one hot group needs one pass; leaders that share
     a follower are one group.
@@ -175,7 +183,7 @@ def leader_groups(ids: np.ndarray, x: np.ndarray, similar: float, block: int = 1
             a = parent[a]
         return a
 
-    of = np.empty(len(ids), np.int64)
+    of, leads = np.empty(len(ids), np.int64), np.zeros(len(ids), bool)
     for at in range(0, len(order), block):
         part = order[at : at + block]
         y = x[part]
@@ -191,6 +199,7 @@ def leader_groups(ids: np.ndarray, x: np.ndarray, similar: float, block: int = 1
                     new.append(n)
             parent += range(len(parent), len(parent) + len(new))
             leaders = np.vstack([leaders, y[free[new]]])
+            leads[part[free[new]]] = True
             close = np.hstack([close, y @ y[free[new]].T >= similar])
             for n, k in enumerate(new):
                 close[free[k], close.shape[1] - len(new) + n] = True  # itself, whatever the rounding
@@ -204,7 +213,7 @@ def leader_groups(ids: np.ndarray, x: np.ndarray, similar: float, block: int = 1
     of = roots[of]
     least = np.full(len(parent), np.iinfo(np.int64).max)
     np.minimum.at(least, of, ids)
-    return least[of]
+    return least[of], leads
 
 
 def connected(links: DataFrame, most_rounds: int = 30) -> DataFrame:
@@ -276,16 +285,31 @@ def cluster(df: DataFrame, id_col: str = "id", vector: str = "embedding", labels
 
     def groups(b: pd.DataFrame) -> pd.DataFrame:
         ids = b["id"].to_numpy()
-        return pd.DataFrame({"cell": b["cell"].to_numpy(), "id": ids, "other": leader_groups(ids, np.stack(b["v"].to_numpy()), similar)})
+        other, leads = leader_groups(ids, np.stack(b["v"].to_numpy()), similar)
+        return pd.DataFrame({"cell": b["cell"].to_numpy(), "salt": b["salt"].to_numpy(), "id": ids, "other": other, "leads": leads})
+
+    def across(b: pd.DataFrame) -> pd.DataFrame:
+        left, right = b[b["salt"] == b["low"]], b[b["salt"] == b["high"]]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"id": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64")})
+        x, y = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
+        found = []
+        for at in range(0, len(x), 1024):
+            r, c = np.nonzero(x[at : at + 1024] @ y.T >= similar)
+            found.append(np.unique(np.c_[left["other"].to_numpy()[r + at], right["other"].to_numpy()[c]], axis=0))
+        both = np.unique(np.concatenate(found), axis=0)
+        return pd.DataFrame({"id": both[:, 0], "other": both[:, 1]})
 
     schema = StructType([StructField("id", LongType()), StructField("v", ArrayType(FloatType())), StructField("cell", LongType()), StructField("salt", LongType())])
-    linked = "cell long, id long, other long"
-    links = points.select("id", "v").mapInPandas(cells, schema).groupBy("cell", "salt").applyInPandas(groups, linked)
+    links = points.select("id", "v").mapInPandas(cells, schema).groupBy("cell", "salt").applyInPandas(groups, "cell long, salt long, id long, other long, leads boolean")
     hot = np.flatnonzero(parts > 1).tolist()
-    if hot:
+    if hot:  # the leaders of a hot cell's parts meet, two parts in a task
         links = materialise(links)
-        led = links.where(F.col("cell").isin(hot)).select("cell", F.col("other").alias("id")).distinct()
-        links = links.unionByName(led.join(points.select("id", "v"), "id").groupBy("cell").applyInPandas(groups, linked))
+        n_parts = F.create_map(*[F.lit(int(x)) for c in hot for x in (c, parts[c])])[F.col("cell")]
+        led = links.where(F.col("leads") & F.col("cell").isin(hot)).join(points.select("id", "v"), "id")
+        led = led.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), n_parts.cast("long") - 1))).where("with <> salt")
+        led = led.select("cell", "salt", "other", "v", F.least("salt", "with").alias("low"), F.greatest("salt", "with").alias("high"))
+        links = links.select("id", "other").unionByName(led.groupBy("cell", "low", "high").applyInPandas(across, "id long, other long"))
     roots = connected(links.select("id", "other"))
     named = points.select("id", "h1", "h2").join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("cluster_id"))
     return keyed.select("id", "h1", "h2").join(named, ["h1", "h2"]).select("id", "cluster_id")
