@@ -54,11 +54,14 @@ def mended(text: str | None) -> str | None:
                 break
         elif c == ",":
             safe.append((k, list(stack)))
-    for end, open_ in reversed(safe[-200:]):
+    fault = len(t)
+    for end, open_ in reversed(safe):
+        if end > fault:  # what breaks the text before this place would break it again
+            continue
         try:
             return json.dumps(json.loads(t[:end] + "".join(_CLOSES[c] for c in reversed(open_))), ensure_ascii=False)
-        except ValueError:
-            continue
+        except json.JSONDecodeError as e:
+            fault = min(fault, e.pos)
     return None
 
 

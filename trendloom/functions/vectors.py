@@ -27,3 +27,11 @@ def unit(a: Column) -> Column:
 def mean_vector(v: Column, size: int) -> Column:
     """Aggregate: the element-wise mean, with one partial sum per element."""
     return F.array(*[F.avg(v[i].cast("double")) for i in range(size)])
+
+
+_NUMBER = r"([-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)"
+
+
+def parsed(text: Column) -> Column:
+    """The numbers of a vector written as text, in any spelling; null if one is NaN, infinite or null."""
+    return F.when(~F.lower(text).rlike("nan|inf|null|none"), F.transform(F.regexp_extract_all(text, F.lit(_NUMBER), 1), lambda x: x.try_cast("float")))

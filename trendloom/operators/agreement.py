@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from trendloom.functions import vectors
+from trendloom.operators.matching import over_blocks
 
 
 def _pairs(n):
@@ -46,3 +50,31 @@ def cohesion(df: DataFrame, group: str, vector: str, size: int) -> DataFrame:
     near = u.join(mean, group).groupBy(group, "n").agg(F.avg(vectors.cosine(F.col("u"), F.col("m"))).alias("cohesion"), F.first(vectors.dot(F.col("m"), F.col("m"))).alias("q"))
     n = F.col("n").cast("double")
     return near.select(group, "n", F.when(n > 1, F.col("cohesion")).otherwise(1.0).alias("cohesion"), F.when(n > 1, (n * n * F.col("q") - n) / (n * (n - 1))).otherwise(1.0).alias("avg_pairwise"))
+
+
+def noise_quality(df: DataFrame, truth: str, said: str) -> DataFrame:
+    """``noise_precision, noise_recall, n_noise`` of two columns that say whether a row is noise; null where there is none."""
+    n = df.agg(F.count_if(F.col(truth) & F.col(said)).alias("tp"), F.count_if(F.col(said)).alias("s"), F.count_if(F.col(truth)).alias("n_noise"))
+    share = lambda c: F.round(F.col("tp") / F.nullif(F.col(c), F.lit(0)), 6)
+    return n.select(share("s").alias("noise_precision"), share("n_noise").alias("noise_recall"), "n_noise")
+
+
+def cosine_silhouette(df: DataFrame, id_col: str, label: str, vector: str, size: int) -> DataFrame:
+    """``id, label, silhouette`` by cosine distance, exact: the mean distance of a vector to a group is one minus its product with the
+    group's mean unit vector, so that no pair is formed. A group of one has 0. Groups are compared in blocks of ``BLOCK_TRENDS``."""
+    u = df.select(id_col, label, vectors.unit(F.col(vector)).alias("__u")).where(F.col(label).isNotNull())
+    g = u.groupBy(label).agg(vectors.mean_vector(F.col("__u"), size).alias("__m"), F.count("*").alias("__n"))
+    schema = StructType([StructField(id_col, u.schema[id_col].dataType), StructField("__near", DoubleType())])
+
+    def nearest(part: pd.DataFrame, s: np.ndarray, known: list) -> pd.DataFrame:
+        own = {k: n for n, k in enumerate(known)}
+        for n, k in enumerate(part[label]):
+            if k in own:
+                s[n, own[k]] = -np.inf
+        return pd.DataFrame({id_col: part[id_col].to_numpy(), "__near": s.max(axis=1)})
+
+    other = over_blocks(u, g, "__u", label, "__m", nearest, schema, products=True).groupBy(id_col).agg(F.max("__near").alias("__near"))
+    x = u.join(g, label).join(other, id_col)
+    a = 1 - (F.col("__n") * vectors.dot(F.col("__u"), F.col("__m")) - 1) / (F.col("__n") - 1)
+    b = 1 - F.col("__near")
+    return x.withColumns({"__a": F.when(F.col("__n") > 1, a), "__b": b}).select(id_col, label, F.when(F.col("__a").isNull(), 0.0).otherwise((F.col("__b") - F.col("__a")) / F.greatest("__a", "__b")).alias("silhouette"))

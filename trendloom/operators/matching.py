@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from trendloom.functions import vectors
 from trendloom.functions.text import tokens
-from trendloom.session import bounded_broadcast
 
-#: Trends (or centroids) that are compared with every post; more than this must be matched by an index instead.
-MOST_TRENDS = 20_000
+#: Trends (or centroids) that a worker holds at once, and terms of one automaton; more are taken in blocks, one after the other.
+BLOCK_TRENDS, BLOCK_TERMS = 20_000, 200_000
+
+
+def usable(v: Column, size: int) -> Column:
+    """Whether a vector has ``size`` numbers, none null, NaN or infinite and not all zero."""
+    return F.coalesce((F.size(v) == size) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
 def centroids(df: DataFrame, label: str, vector: str, size: int) -> DataFrame:
@@ -20,33 +28,153 @@ def centroids(df: DataFrame, label: str, vector: str, size: int) -> DataFrame:
     return df.groupBy(label).agg(vectors.mean_vector(F.col(vector), size).alias("centroid"), F.count("*").alias("n"))
 
 
+def _blocks(df: DataFrame, key: str, most: int) -> list[DataFrame]:
+    """``df`` in parts of about ``most`` rows at most, by a hash of ``key``; one part where they are few."""
+    n = math.ceil(df.count() / most)
+    return [df.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) for k in range(n)] if n > 1 else [df]
+
+
+def _units(rows: list) -> np.ndarray:
+    x = np.array([list(r) for r in rows], float)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-8)
+
+
+def over_blocks(posts: DataFrame, trends: DataFrame, vector: str, trend_id: str, trend_vector: str, make: Callable, schema: StructType, products: bool = False) -> DataFrame:
+    """``make(batch, cosines, ids)`` over all posts for each block of trends, whose ids are sorted; posts of an odd length are left
+    out. With ``products`` the plain products of the vectors are given instead of their cosines."""
+    spark = posts.sparkSession
+    out = None
+    for block in _blocks(trends.where(F.col(trend_vector).isNotNull()).select(trend_id, trend_vector), trend_id, BLOCK_TRENDS):
+        rows = sorted((r[0], r[1]) for r in block.collect())  # at most about BLOCK_TRENDS
+        if not rows:
+            continue
+        shape = (lambda x: np.array([list(v) for v in x], float)) if products else _units
+        shared = spark.sparkContext.broadcast(([r[0] for r in rows], shape([r[1] for r in rows])))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared, shape=shape) -> Iterator[pd.DataFrame]:
+            ids, c = shared.value
+            for b in batches:
+                b = b[[v is not None and len(v) == c.shape[1] for v in b[vector]]]
+                for at in range(0, len(b), 512):
+                    part = b.iloc[at : at + 512]
+                    yield make(part, np.round(shape(part[vector].to_list()) @ c.T, 9), ids)
+
+        one = posts.mapInPandas(run, schema)
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else spark.createDataFrame([], schema)
+
+
 def top_matches(posts: DataFrame, trends: DataFrame, post_id: str, vector: str, trend_id: str, trend_vector: str, floor: float | None = None, k: int = 1) -> DataFrame:
     """``post_id, trend_id, sim, rank``: the k most similar trends of each post, with ``sim >= floor`` if given.
 
-    All trends are one array that every post scans, so each post stays in its row: no join rows are made and nothing is
-    shuffled but the trends. The trends must be at most ``MOST_TRENDS``. Of equal similarities the smaller id comes first.
+    An Arrow batch of posts is multiplied with a block of trends at once; nothing is shuffled unless there are several blocks, whose
+    best then meet. Of equal similarities the smaller id comes first; posts without a vector have no match.
     """
-    known = trends.limit(MOST_TRENDS + 1).agg(F.sort_array(F.collect_list(F.struct(F.col(trend_id).alias("t"), F.col(trend_vector).alias("v")))).alias("__trends"), F.count("*").alias("__n"))
-    known = known.select(F.when(F.col("__n") <= MOST_TRENDS, F.col("__trends")).otherwise(F.raise_error(F.lit(f"more than {MOST_TRENDS} trends"))).alias("__trends"))
-    every = posts.crossJoin(F.broadcast(known))  # one row: the trends as a constant
-    scored = F.transform("__trends", lambda x: F.struct((-vectors.cosine(F.col(vector), x["v"])).alias("neg"), x["t"].alias("t")))
-    best = every.select(post_id, F.slice(F.sort_array(scored), 1, k).alias("best")).select(post_id, F.posexplode("best").alias("pos", "m"))
-    out = best.select(post_id, F.col("m.t").alias(trend_id), (-F.col("m.neg")).alias("sim"), (F.col("pos") + 1).alias("rank"))
+    ids = StructType([StructField(post_id, posts.schema[post_id].dataType), StructField(trend_id, trends.schema[trend_id].dataType), StructField("sim", DoubleType()), StructField("rank", IntegerType())])
+
+    def best(part: pd.DataFrame, s: np.ndarray, known: list) -> pd.DataFrame:
+        top = s.argmax(axis=1)[:, None] if k == 1 else np.argsort(-s, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({post_id: np.repeat(part[post_id].to_numpy(), top.shape[1]), trend_id: [known[t] for t in top.ravel()], "sim": np.take_along_axis(s, top, axis=1).ravel(), "rank": np.tile(np.arange(1, top.shape[1] + 1, dtype=np.int32), len(top))})
+
+    out = over_blocks(posts.select(post_id, vector), trends, vector, trend_id, trend_vector, best, ids)
+    if trends.count() > BLOCK_TRENDS:
+        out = out.withColumn("rank", F.row_number().over(Window.partitionBy(post_id).orderBy(F.desc("sim"), trend_id))).where(F.col("rank") <= k)
     return out if floor is None else out.where(F.col("sim") >= floor)
 
 
 def keyword_matches(posts: DataFrame, terms: DataFrame, post_id: str, text: str, term_id: str, term: str) -> DataFrame:
-    """``post_id, term_id``: posts that contain a term's words, found by an equi-join on the term's rarest word.
+    """``post_id, term_id``: posts whose lower-case text contains a term, inside a word or across words.
 
-    A nested loop over all posts and terms would grow with their product; here a term meets only the posts that have its
-    longest word, and the whole term is looked for in those.
+    All terms are one automaton (a block of ``BLOCK_TERMS``), which every text runs through once: the work grows with the texts and
+    not with the product of texts and terms.
+    """
+    spark = posts.sparkSession
+    schema = StructType([StructField(post_id, posts.schema[post_id].dataType), StructField(term_id, terms.schema[term_id].dataType)])
+    named = terms.select(F.col(term_id), F.lower(F.trim(term)).alias("__term")).where("__term <> ''").distinct()
+    texts = posts.select(post_id, F.lower(text).alias("__text")).where("__text IS NOT NULL")
+    out = None
+    for block in _blocks(named, "__term", BLOCK_TERMS):
+        of: dict[str, list] = {}
+        for r in block.collect():  # at most about BLOCK_TERMS
+            of.setdefault(r["__term"], []).append(r[0])
+        if not of:
+            continue
+        shared = spark.sparkContext.broadcast(of)
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for t, own in shared.value.items():
+                automaton.add_word(t, own)
+            automaton.make_automaton()
+            for b in batches:
+                pairs = [(p, i) for p, x in zip(b[post_id], b["__text"]) for i in {i for _, own in automaton.iter(x) for i in own}]
+                yield pd.DataFrame(pairs, columns=[post_id, term_id])
+
+        one = texts.mapInPandas(run, schema)
+        out = one if out is None else out.unionByName(one)
+    return out.distinct() if out is not None else spark.createDataFrame([], schema)
+
+
+def hybrid_matches(posts: DataFrame, trends: DataFrame, hits: DataFrame, post_id: str, vector: str, trend_id: str, trend_vector: str, floor: float = 0.65, k: int = 60) -> DataFrame:
+    """``post_id, trend_id, rrf, sim``: the trend of each post by the fused ranks of its cosine and of its keywords.
+
+    ``hits`` has the pairs ``post_id, trend_id`` that share a keyword. A trend's score is 1 / (k + its rank by cosine) + 1 / (k + its
+    rank by keyword), where equal values share the better rank; the winner counts only if its cosine is at least ``floor``. Only
+    the nearest trend with a keyword and the nearest one without can win, so that no pair of a post and a trend is ever a row.
     """
-    by_word = terms.select(term_id, F.lower(F.trim(term)).alias("__term")).where("__term <> ''")
-    by_word = by_word.withColumn("__words", tokens(F.col("__term"), 1)).where(F.size("__words") > 0)
-    longest = F.aggregate("__words", F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
-    by_word = by_word.select(term_id, "__term", longest.alias("__word"))
-    words = posts.select(post_id, F.lower(text).alias("__text")).select(post_id, "__text", F.explode(F.array_distinct(tokens(F.col("__text"), 1))).alias("__word"))
-    return words.join(bounded_broadcast(by_word, 100_000), "__word").where(F.contains("__text", F.col("__term"))).select(post_id, term_id).distinct()
+    own = hits.groupBy(post_id).agg(F.collect_set(trend_id).alias("__hits"))
+    p = posts.where(F.col(vector).isNotNull()).select(post_id, vector).join(own, post_id, "left")
+    at = StructField(post_id, posts.schema[post_id].dataType)
+    named = trends.schema[trend_id].dataType
+    ends = StructType([at, StructField("hit", DoubleType()), StructField("hit_id", named), StructField("non", DoubleType()), StructField("non_id", named)])
+
+    def mask(part: pd.DataFrame, known: list) -> np.ndarray:
+        place = {t: n for n, t in enumerate(known)}
+        m = np.zeros((len(part), len(known)), bool)
+        for n, h in enumerate(part["__hits"]):
+            if h is not None:
+                m[n, [place[t] for t in h if t in place]] = True
+        return m
+
+    def nearest(part: pd.DataFrame, s: np.ndarray, known: list) -> pd.DataFrame:
+        m, rows = mask(part, known), np.arange(len(part))
+        out = {post_id: part[post_id].to_numpy()}
+        for name, keep in (("hit", m), ("non", ~m)):
+            x = np.where(keep, s, -9.0)
+            top = x.argmax(axis=1)
+            out[name] = [float(v) if v > -9 else None for v in x[rows, top]]
+            out[f"{name}_id"] = [known[t] if v > -9 else None for t, v in zip(top, x[rows, top])]
+        return pd.DataFrame(out)
+
+    far = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct((-F.col(c)).alias("s"), F.col(f"{c}_id").alias("i")))).alias(c)
+    best = over_blocks(p, trends, vector, trend_id, trend_vector, nearest, ends).groupBy(post_id).agg(far("hit"), far("non"))
+    best = best.select(post_id, (-F.col("hit.s")).alias("hit"), F.col("hit.i").alias("hit_id"), (-F.col("non.s")).alias("non"), F.col("non.i").alias("non_id"))
+    above = StructType([at, StructField("over_hit", IntegerType()), StructField("over_non", IntegerType())])
+
+    def count(part: pd.DataFrame, s: np.ndarray, known: list) -> pd.DataFrame:
+        hit, non = (part[c].fillna(9.0).to_numpy(float)[:, None] for c in ("hit", "non"))
+        return pd.DataFrame({post_id: part[post_id].to_numpy(), "over_hit": (s > hit).sum(axis=1).astype(np.int32), "over_non": ((s > non) & mask(part, known)).sum(axis=1).astype(np.int32)})
+
+    n = over_blocks(p.join(best.select(post_id, "hit", "non"), post_id), trends, vector, trend_id, trend_vector, count, above)
+    n = n.groupBy(post_id).agg(F.sum("over_hit").alias("over_hit"), F.sum("over_non").alias("over_non"))
+    x = best.join(n, post_id).join(p.select(post_id, F.coalesce(F.size("__hits"), F.lit(0)).alias("n_hits")), post_id)
+    one = F.struct((-(1.0 / (k + 1 + F.col("over_hit")) + 1.0 / (k + 1))).alias("r"), (-F.col("hit")).alias("s"), F.col("hit_id").alias("t"))
+    two = F.struct((-(1.0 / (k + 1 + F.col("over_non")) + 1.0 / (k + 1 + F.greatest("n_hits", F.lit(0))))).alias("r"), (-F.col("non")).alias("s"), F.col("non_id").alias("t"))
+    won = x.select(post_id, F.least(F.when(F.col("hit").isNotNull(), one), F.when(F.col("non").isNotNull(), two)).alias("w"))
+    return won.select(post_id, F.col("w.t").alias(trend_id), (-F.col("w.r")).alias("rrf"), (-F.col("w.s")).alias("sim")).where(F.col("sim") >= floor)
+
+
+def merged_dictionary(rows: DataFrame, key: str, row_id: str, volume: str, keywords: str, least: int = 5) -> DataFrame:
+    """``canonical, n_rows, volume, id, keywords``: rows under the shortest key of at least ``least`` characters that theirs contains (of
+    equal length the first in order), else under their own; volumes added, keywords united, the smallest id."""
+    keys = rows.select(F.col(key).alias("__key")).distinct()
+    inside = keyword_matches(keys.select("__key", F.col("__key").alias("__text")), keys.where(F.length("__key") >= least).select(F.col("__key").alias("__part"), F.col("__key").alias("__term")), "__key", "__text", "__part", "__term")
+    named = keys.join(inside, "__key", "left").withColumn("__part", F.coalesce("__part", "__key"))
+    named = named.groupBy("__key").agg(F.min(F.struct(F.length("__part").alias("n"), F.col("__part").alias("k"))).alias("c")).select("__key", F.col("c.k").alias("canonical"))
+    x = rows.join(named, F.col(key) == F.col("__key"))
+    return x.groupBy("canonical").agg(F.count("*").alias("n_rows"), F.sum(volume).alias("volume"), F.min(row_id).alias("id"), F.array_distinct(F.flatten(F.collect_list(keywords))).alias("keywords"))
 
 
 def reciprocal_ranks(scores: DataFrame, query: str, item: str, columns: Sequence[str], k: int = 60) -> DataFrame:
@@ -58,6 +186,23 @@ def reciprocal_ranks(scores: DataFrame, query: str, item: str, columns: Sequence
     return scores.withColumn("rrf", total).drop(*[f"__r_{c}" for c in columns])
 
 
+def fused_matches(clusters: DataFrame, trends: DataFrame, sparse: DataFrame, cluster_id: str, vector: str, trend_id: str, trend_vector: str, weight: float = 0.6, floor: float = 0.35) -> DataFrame:
+    """``cluster_id, trend_id, fused, sim``: the trend of each cluster by ``weight`` of the cosine and the rest of BM25 (``sparse``:
+    ``cluster_id, trend_id, bm25``), by the cluster's highest; only with a cosine of ``floor`` and at most 1.
+
+    A trend without a word in common can only win by its cosine, so the nearest one joins those of ``sparse`` and no other pair is formed.
+    """
+    dense = top_matches(clusters, trends, cluster_id, vector, trend_id, trend_vector).select(cluster_id, trend_id)
+    pairs = sparse.select(cluster_id, trend_id, "bm25").unionByName(dense.withColumn("bm25", F.lit(0.0))).groupBy(cluster_id, trend_id).agg(F.max("bm25").alias("bm25"))
+    pairs = pairs.join(clusters.where(F.col(vector).isNotNull()).select(cluster_id, F.col(vector).alias("__a")), cluster_id).join(trends.where(F.col(trend_vector).isNotNull()).select(trend_id, F.col(trend_vector).alias("__b")), trend_id)
+    x = pairs.select(cluster_id, trend_id, "bm25", F.round(vectors.cosine(F.col("__a"), F.col("__b")), 9).alias("sim"))
+    top = sparse.groupBy(cluster_id).agg(F.max("bm25").alias("__most"))
+    x = x.join(top, cluster_id, "left").where(F.col("sim") >= floor)
+    score = F.round(F.least(F.lit(1.0), weight * F.col("sim") + (1 - weight) * F.when(F.col("__most") > 0, F.col("bm25") / F.col("__most")).otherwise(0.0)), 9)
+    best = x.groupBy(cluster_id).agg(F.min(F.struct((-score).alias("f"), F.col(trend_id).alias("t"), "sim")).alias("w"))
+    return best.select(cluster_id, F.col("w.t").alias(trend_id), (-F.col("w.f")).alias("fused"), "w.sim")
+
+
 def linear_fusion(scores: DataFrame, query: str, dense: str, sparse: str, weight: float = 0.6) -> DataFrame:
     """Adds ``fused``: ``weight`` of the dense and the rest of the sparse score, the latter by the query's highest."""
     most = F.max(sparse).over(Window.partitionBy(query))
@@ -79,14 +224,18 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, doc_words: str, query
     return p.select("w", doc_id, weight.alias("s")).join(asked, "w").groupBy(query_id, doc_id).agg(F.sum(F.col("s") * F.col("qtf")).alias("bm25"))
 
 
-def tf_idf(words: DataFrame, doc_id: str, word: str, least_docs: int = 2, most_share: float = 0.95) -> DataFrame:
-    """``doc_id, w, weight``: unit-length weights tf * (ln((1 + N) / (1 + df)) + 1) of words in enough and not too many documents.
+def tf_idf(words: DataFrame, doc_id: str, word: str, least_docs: int = 2, most_share: float = 0.95, most_terms: int | None = None) -> DataFrame:
+    """``doc_id, w, weight``: unit-length weights tf * (ln((1 + N) / (1 + df)) + 1) of words in enough and not too many documents,
+    and of the ``most_terms`` most frequent ones if given.
 
     ``words`` has one row for each occurrence, so that no document is ever one row.
     """
     tf = words.groupBy(doc_id, F.col(word).alias("w")).agg(F.count("*").alias("tf"))
     total = words.agg(F.countDistinct(doc_id).alias("N"))
     df = tf.groupBy("w").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).where((F.col("df") >= least_docs) & (F.col("df") <= F.col("N") * most_share))
+    if most_terms is not None:
+        frequent = tf.join(df.select("w"), "w").groupBy("w").agg(F.sum("tf").alias("__n")).orderBy(F.desc("__n"), "w").limit(most_terms)
+        df = df.join(frequent.select("w"), "w", "left_semi")
     raw = tf.join(df, "w").select(doc_id, "w", (F.col("tf") * (F.log((1 + F.col("N")) / (1 + F.col("df"))) + 1)).alias("x"))
     length = raw.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("len"))
     return raw.join(length, doc_id).select(doc_id, "w", (F.col("x") / F.col("len")).alias("weight"))

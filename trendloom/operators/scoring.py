@@ -59,7 +59,7 @@ def linear_score(v: Column, ceiling: float = 50.0) -> Column:
     return F.least(F.lit(100.0), 100.0 * v / ceiling)
 
 
-def seven_classes(g: Column, f: Column, n: Column, floor: float = 10.0) -> Column:
+def seven_classes(g: Column, f: Column, n: Column, floor: float = 40.0) -> Column:
     """By which sources drive a trend."""
     a, b, c = g > floor, f > floor, n > floor
     return (

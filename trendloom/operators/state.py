@@ -52,10 +52,10 @@ def merge_names(state: DataFrame, names: DataFrame) -> DataFrame:
 
 
 class StateTable:
-    """Versions of the state in a folder, with a ledger of the batches that went into them.
+    """Versions of the state in a folder, the newest two of which are kept, with the batch that went into each.
 
-    A version is written whole and then named in the ledger by one small write, so a batch that is delivered again, or
-    whose write broke off, changes nothing.
+    A version is written whole and then named by one small file, so a batch that is delivered again, or whose write broke
+    off, changes nothing. Batches come in the order of their numbers.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
@@ -63,10 +63,15 @@ class StateTable:
         self.path = path or f"{shared_dir(spark)}/trend-state"
 
     def _ledger(self) -> list[dict]:
+        """The newest versions in order, a few at most."""
         fs, p = self._fs(f"{self.path}/ledger")
         if not fs.exists(p):
             return []
-        return sorted((json.loads(r[0]) for r in self.spark.read.text(f"{self.path}/ledger").collect()), key=lambda x: x["version"])
+        names = sorted(int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(p) if "=" in f.getPath().getName())
+        done = []
+        for n in names[-2:]:
+            done += [json.loads(r[0]) for r in self.spark.read.text(f"{self.path}/ledger/version={n}").select("value").collect()]
+        return done
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -79,9 +84,13 @@ class StateTable:
     def apply(self, batch_id: int, change) -> bool:
         """Writes ``change(current)`` as the next version unless the batch is in the ledger; whether it did."""
         done = self._ledger()
-        if any(x["batch"] == batch_id for x in done):
+        if done and batch_id <= done[-1]["batch"]:
             return False
         version = (done[-1]["version"] if done else 0) + 1
         change(self.current()).write.mode("overwrite").parquet(f"{self.path}/v{version}")
-        self.spark.createDataFrame([(json.dumps({"version": version, "batch": batch_id}),)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/ledger")
+        self.spark.createDataFrame([(json.dumps({"version": version, "batch": batch_id}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/ledger/version={version}")
+        for old in (f"{self.path}/ledger/version={version - 2}", f"{self.path}/v{version - 2}"):
+            fs, p = self._fs(old)
+            if fs.exists(p):
+                fs.delete(p, True)
         return True

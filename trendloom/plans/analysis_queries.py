@@ -6,15 +6,17 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trendloom.functions import vectors
-from trendloom.functions.text import NO_TOPIC, fold, keyword_list, tokens, topic_of
+from trendloom.functions.text import NO_TOPIC, fold, keyword_list, sentiment_label, tokens, topic_of
 from trendloom.operators import agreement, density, matching
+from trendloom.plans.match_queries import SQL as _MATCH_SQL
 from trendloom.plans.match_queries import _CENT, _dot, _words
 from trendloom.plans.text_queries import _FOLD, _KEYS
-from trendloom.session import table
+from trendloom.session import numbered, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 SIZE = 64
+_BM25 = _MATCH_SQL["bm25_articles"]
 _T = "trim(regexp_replace(lower(trim(final_topic)), '^new:', ''))"
 _PT = f"(SELECT * FROM (SELECT *, {_T} AS topic FROM processed_posts) WHERE topic NOT IN {NO_TOPIC})"
 
@@ -68,11 +70,15 @@ def routine_searches(spark, d):
     return table(spark, d, "google_trends").select("row_id", F.lower("trend").rlike("xổ số|kết quả|lịch thi|thời tiết|giá vàng|lottery|weather|schedule").alias("routine"))
 
 
-@query("SELECT id, CASE WHEN category = 'T7' AND trend_score < 30 THEN 'weak routine' WHEN topic_type = 'Discovery' AND trend_score < 20 THEN 'weak discovery' WHEN trend_score < 10 THEN 'weak' ELSE 'kept' END AS rule FROM detected_trends")
+@query("""SELECT id, CASE WHEN generic AND routine THEN CASE WHEN trend_score < 60 THEN 'noise' ELSE 'kept' END WHEN generic AND topic_type = 'Discovery' THEN 'generic noise' WHEN routine THEN CASE WHEN trend_score < 30 THEN 'routine noise' ELSE 'kept' END
+WHEN generic THEN 'generic' ELSE 'kept' END AS rule FROM (SELECT *, coalesce(len(string_split(trim(trend_name), ' ')) <= 2, false) AS generic, coalesce(category = 'T7', false) AS routine FROM detected_trends)""")
 def noise_rules(spark, d):
-    """The first rule by which a classified trend counts as noise."""
+    """The rule by which a classified trend is noise, or only generic (a name of one or two words), in order of the rules."""
+    generic, routine = F.coalesce(F.size(F.split(F.trim("trend_name"), " ")) <= 2, F.lit(False)) & F.col("trend_name").isNotNull(), F.coalesce(F.col("category") == "T7", F.lit(False))
     s = F.col("trend_score")
-    return table(spark, d, "detected_trends").select("id", F.when((F.col("category") == "T7") & (s < 30), "weak routine").when((F.col("topic_type") == "Discovery") & (s < 20), "weak discovery").when(s < 10, "weak").otherwise("kept").alias("rule"))
+    both = F.when(s < 60, "noise").otherwise("kept")
+    rule = F.when(generic & routine, both).when(generic & (F.col("topic_type") == "Discovery"), "generic noise").when(routine, F.when(s < 30, "routine noise").otherwise("kept")).when(generic, "generic").otherwise("kept")
+    return table(spark, d, "detected_trends").select("id", rule.alias("rule"))
 
 
 @query(f"""WITH k AS (SELECT lower(trim(regexp_replace(lower(trim(trend_name)), '^new:', ''))) AS topic, list_distinct(flatten(list({_KEYS}))) AS ks FROM detected_trends WHERE trend_name IS NOT NULL GROUP BY 1)
@@ -99,9 +105,8 @@ def representative_items(spark, d):
 @query("SELECT a.rn, a.id AS post_id, b.id AS trend_id FROM (SELECT id, row_number() OVER (ORDER BY id) AS rn FROM processed_posts) a JOIN (SELECT id, row_number() OVER (ORDER BY id) AS rn FROM detected_trends) b USING (rn)")
 def positional_join(spark, d):
     """Rows of two tables by their place in the order of the ids."""
-    number = lambda n: table(spark, d, n).select("id").rdd.map(lambda r: r[0]).sortBy(lambda x: x).zipWithIndex().map(lambda p: (p[0], p[1] + 1))
-    a, b = (spark.createDataFrame(number(n), "id long, rn long") for n in ("processed_posts", "detected_trends"))
-    return a.withColumnRenamed("id", "post_id").join(b.withColumnRenamed("id", "trend_id"), "rn")
+    a, b = (numbered(table(spark, d, n).select("id"), "rn", "id") for n in ("processed_posts", "detected_trends"))
+    return a.withColumnRenamed("id", "post_id").join(b.withColumnRenamed("id", "trend_id"), "rn").select("rn", "post_id", "trend_id")
 
 
 @query("SELECT CAST(count_if(h) AS BIGINT) AS n_hits, CAST(count_if(NOT h) AS BIGINT) AS n_misses FROM (SELECT md5(content) IN (SELECT md5(content) FROM processed_posts WHERE content IS NOT NULL) AS h FROM posts_stream_v1 WHERE content IS NOT NULL)")
@@ -152,11 +157,11 @@ def topic_sizes(spark, d):
     return n.agg(F.count("*").alias("n_topics"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.median("n"), 6).alias("median_size"), F.round(F.percentile("n", 0.9), 6).alias("p90"), F.count_if(F.col("n") > 100).alias("n_mega"), F.count_if(F.col("n") < 10).alias("n_micro"))
 
 
-@query("SELECT round((pos - neg) / CAST(n AS DOUBLE), 6) AS polarity, n FROM (SELECT count(*) FILTER (upper(sentiment) IN ('POS', 'POSITIVE')) AS pos, count(*) FILTER (upper(sentiment) IN ('NEG', 'NEGATIVE')) AS neg, count(sentiment) AS n FROM processed_posts)")
+@query("SELECT round((pos - neg) / CAST(n AS DOUBLE), 6) AS polarity, n FROM (SELECT count(*) FILTER (s IN ('POS', 'POSITIVE', 'LABEL_2', 'TÍCH CỰC')) AS pos, count(*) FILTER (s IN ('NEG', 'NEGATIVE', 'LABEL_0', 'TIÊU CỰC')) AS neg, count(s) AS n FROM (SELECT upper(trim(sentiment)) AS s FROM processed_posts))")
 def polarity(spark, d):
     """Positive less negative posts among those with a sentiment."""
-    s = F.upper("sentiment")
-    x = table(spark, d, "processed_posts").agg(F.count_if(F.coalesce(s.isin("POS", "POSITIVE"), F.lit(False))).alias("p"), F.count_if(F.coalesce(s.isin("NEG", "NEGATIVE"), F.lit(False))).alias("g"), F.count("sentiment").alias("n"))
+    p = table(spark, d, "processed_posts").select("sentiment", sentiment_label(F.col("sentiment")).alias("l"))
+    x = p.agg(F.count_if(F.col("l") == "Positive").alias("p"), F.count_if(F.col("l") == "Negative").alias("g"), F.count("sentiment").alias("n"))
     return x.select(F.round((F.col("p") - F.col("g")) / F.col("n"), 6).alias("polarity"), "n")
 
 
@@ -339,7 +344,8 @@ def category_slugs(spark, d):
     return table(spark, d, "processed_posts").groupBy("category").agg(F.count("*").alias("n")).select("category", F.coalesce(F.try_element_at(known, "category"), F.lit("Unclassified")).alias("code"), "n")
 
 
-@query()
+@query(f"""WITH l AS ({_MATCH_SQL['label_agreement']}), t AS ({_MATCH_SQL['topic_agreement']}), a AS (UNPIVOT l ON COLUMNS(*) INTO NAME metric VALUE value), b AS (UNPIVOT t ON COLUMNS(*) INTO NAME metric VALUE value)
+SELECT metric, CASE WHEN (CASE WHEN metric = 'entropy' THEN -a.value ELSE a.value END) >= (CASE WHEN metric = 'entropy' THEN -b.value ELSE b.value END) THEN 'labels' ELSE 'topics' END AS best FROM a JOIN b USING (metric)""")
 def best_metrics(spark, d):
     """Which of two groupings is better by each measure of agreement; of entropy less is better."""
     from trendloom.plans.match_queries import label_agreement, topic_agreement
@@ -349,7 +355,8 @@ def best_metrics(spark, d):
     return long.groupBy("metric").agg(F.max_by("run", F.when(F.col("metric") == "entropy", -F.col("value")).otherwise(F.col("value"))).alias("best"))
 
 
-@query()
+@query(f"""WITH a AS (SELECT url, min(concat_ws(' ', title, short_description)) AS x FROM news_articles GROUP BY url), b AS ({_BM25}), w AS (SELECT row_id, list(regexp_extract_all(lower(x), '[\\p{{L}}\\p{{M}}\\p{{N}}_]{{3,}}') ORDER BY bm25 DESC, url) AS xs FROM b JOIN a USING (url) GROUP BY row_id),
+e AS (SELECT row_id, f[i] AS w, i FROM (SELECT row_id, flatten(xs) AS f FROM w), range(1, 2000) r(i) WHERE i <= len(f)), k AS (SELECT row_id, w, min(i) AS i FROM e GROUP BY ALL) SELECT row_id, list(w ORDER BY i) AS terms FROM (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY i) <= 10) GROUP BY row_id""")
 def feedback_terms(spark, d):
     """Ten further terms for each search from its three best articles, in the order of the articles' words."""
     from trendloom.plans.match_queries import bm25_articles
@@ -360,7 +367,8 @@ def feedback_terms(spark, d):
     return texts.select("row_id", F.slice(F.array_distinct(F.flatten(F.transform("xs", lambda x: tokens(x, 3)))), 1, 10).alias("terms"))
 
 
-@query()
+@query("""WITH w AS (SELECT article_id, list_distinct(list_filter(regexp_extract_all(lower(title), '[\\p{L}\\p{M}\\p{N}_]{3,}'), lambda x: NOT regexp_matches(x, '^\\d+$'))) AS ws FROM news_articles)
+SELECT article_id, list_slice(list_transform(list_sort(list_transform(ws, lambda x: struct_pack(n := -length(x), w := x))), lambda x: x.w), 1, 5) AS keywords FROM w""")
 def post_keywords(spark, d):
     """Up to five keywords of each article's headline: its longest words, each once."""
     w = F.array_distinct(F.filter(tokens(F.col("title"), 3), lambda x: ~x.rlike(r"^\d+$")))

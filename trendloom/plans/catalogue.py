@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trendloom.plans import analysis_queries, match_queries, report_queries, stream_queries, text_queries, timestamp_queries
+from trendloom.plans import analysis_queries, inventory_queries, match_queries, report_queries, source_queries, stream_queries, text_queries, timestamp_queries
 
-MODULES = [timestamp_queries, text_queries, match_queries, report_queries, analysis_queries, stream_queries]
+MODULES = [timestamp_queries, text_queries, match_queries, report_queries, analysis_queries, inventory_queries, source_queries, stream_queries]
 
 
 def queries() -> dict:

@@ -66,23 +66,33 @@ def _first(df: DataFrame, by: str, order: list, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
 
 
+POST_SIZE = 96
+
+
+def _topic_trends(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The posts with usable vectors, the topics' centroids, and the topics' keywords."""
+    p = table(spark, d, "processed_posts").where(matching.usable(F.col("embedding"), POST_SIZE)).select("id", "content", "embedding", topic_of(F.col("final_topic")).alias("topic"))
+    c = matching.centroids(p.where("topic IS NOT NULL"), "topic", "embedding", POST_SIZE)
+    t = table(spark, d, "detected_trends").select(topic_of(F.col("trend_name")).alias("topic"), F.explode(keyword_list(F.col("keywords"))).alias("k")).where("topic IS NOT NULL AND length(k) >= 3")
+    return p, c, t.join(c.select("topic"), "topic", "left_semi")
+
+
 def rrf_match(spark: SparkSession, d: str) -> DataFrame:
-    """The label of each vector by the fused ranks of cosine and of negative distance in the first eight numbers."""
-    e, c = _vectors(spark, d)
-    m = matching.top_matches(e.withColumnRenamed("label", "own"), c, "vec_id", "embedding", "label", "centroid", k=10)
-    part = e.select("vec_id", F.slice("embedding", 1, 8).alias("a")).join(m, "vec_id").join(c.select("label", F.slice("centroid", 1, 8).alias("b")), "label")
-    s = part.select("vec_id", "label", F.round("sim", 6).alias("sim"), F.round(vectors.dot(F.col("a"), F.col("b")), 6).alias("head"))
-    return _first(matching.reciprocal_ranks(s, "vec_id", "label", ["sim", "head"]).withColumn("rrf", F.round("rrf", 9)), "vec_id", [F.desc("rrf"), "label"], 1).select("vec_id", "label", "rrf")
+    """The topic of each post by the fused ranks of its cosine with the topic's centroid and of the topic's keywords in the text."""
+    p, c, k = _topic_trends(spark, d)
+    hits = matching.keyword_matches(p, k, "id", "content", "topic", "k")
+    m = matching.hybrid_matches(p, c, hits, "id", "embedding", "topic", "centroid")
+    return m.select("id", "topic", F.round("rrf", 9).alias("rrf"), F.round("sim", 6).alias("sim"))
 
 
 def linear_match(spark: SparkSession, d: str) -> DataFrame:
-    """The label of each vector by 0.6 cosine and 0.4 of the head's score."""
-    e, c = _vectors(spark, d)
-    m = matching.top_matches(e.withColumnRenamed("label", "own"), c, "vec_id", "embedding", "label", "centroid", k=10)
-    part = e.select("vec_id", F.slice("embedding", 1, 8).alias("a")).join(m, "vec_id").join(c.select("label", F.slice("centroid", 1, 8).alias("b")), "label")
-    s = part.select("vec_id", "label", F.round("sim", 6).alias("sim"), F.round(vectors.dot(F.col("a"), F.col("b")), 6).alias("head"))
-    f = matching.linear_fusion(s, "vec_id", "sim", "head").withColumn("fused", F.round("fused", 6))
-    return _first(f, "vec_id", [F.desc("fused"), "label"], 1).select("vec_id", "label", "fused")
+    """The trend of each topic by 0.6 of the cosine of their vectors and 0.4 of the BM25 of the topic's words in the trend's."""
+    _, c, _ = _topic_trends(spark, d)
+    t = table(spark, d, "detected_trends").select("id", "trend_name", "keywords", vectors.parsed(F.col("embedding")).alias("v")).where(matching.usable(F.col("v"), POST_SIZE))
+    words = t.select("id", tokens(F.concat_ws(" ", F.col("trend_name"), F.array_join(keyword_list(F.col("keywords")), " "))).alias("words"))
+    sparse = matching.bm25(words, c.select("topic", tokens(F.col("topic")).alias("asked")), "id", "words", "topic", "asked")
+    m = matching.fused_matches(c, t, sparse, "topic", "centroid", "id", "v")
+    return m.select("topic", "id", F.round("fused", 6).alias("fused"), F.round("sim", 6).alias("sim"))
 
 
 def tfidf_topics(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +160,10 @@ def _words(x: str) -> str:
     return f"regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{M}}\\p{{N}}_]{{{{2,}}}}')".replace("{{2,}}", "{2,}")
 
 
-_HEAD = f"h AS (SELECT vec_id, label, round(sim, 6) AS sim, round({_dot('a', 'b', 8)}, 6) AS head FROM s)"
+_USABLE = "len(embedding) = 96 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+_POSTS = f"""p AS (SELECT id, content, embedding AS e, CASE WHEN {_TOPIC.format('final_topic')} NOT IN {_NO} THEN {_TOPIC.format('final_topic')} END AS topic FROM processed_posts WHERE {_USABLE}),
+      c AS (SELECT topic, list(x ORDER BY i) AS v FROM (SELECT topic, i, avg(CAST(e[i] AS DOUBLE)) AS x FROM p, range(1, 97) r(i) WHERE topic IS NOT NULL GROUP BY ALL) GROUP BY topic)"""
+_PARSED = "CASE WHEN NOT regexp_matches(lower(embedding), 'nan|inf|null|none') THEN list_transform(regexp_extract_all(embedding, '[-+]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:[eE][-+]?[0-9]+)?'), lambda x: TRY_CAST(x AS FLOAT)) END"
 _AGREE = """cells AS (SELECT t, p, CAST(count(*) AS DOUBLE) AS n FROM x GROUP BY ALL), a AS (SELECT t, sum(n) AS nt FROM cells GROUP BY t), b AS (SELECT p, sum(n) AS np, max(n) AS top FROM cells GROUP BY p),
 g AS (SELECT sum(n) AS N, sum(n*(n-1)/2) AS both_, sum(n*n/np) AS bp, sum(n*n/nt) AS br, sum(-n*log2(n/np)) AS h, sum(n*ln(n/(nt*np))) AS mi FROM cells JOIN a USING (t) JOIN b USING (p)),
 k AS (SELECT * FROM g, (SELECT sum(nt*(nt-1)/2) AS pt, sum(-nt*ln(nt)) AS ht FROM a), (SELECT sum(np*(np-1)/2) AS pp, sum(-np*ln(np)) AS hp, sum(top) AS top FROM b)),
@@ -162,14 +175,23 @@ SQL = {
     "match_floor": f"WITH {_CENT} SELECT label, count(*) AS n, round(avg(sim), 6) AS mean_sim FROM best WHERE sim >= 0.2 GROUP BY label",
     "match_names": f"SELECT msg_id, trend_id FROM (SELECT msg_id, {_TOPIC.format('final_topic')} AS name FROM posts_stream_v1) p JOIN (SELECT {_TOPIC.format('trend_name')} AS name, min(id) AS trend_id FROM detected_trends GROUP BY 1) t USING (name) WHERE name NOT IN {_NO}",
     "unmatched_names": f"SELECT name, count(*) AS n FROM (SELECT {_TOPIC.format('final_topic')} AS name FROM posts_stream_v1) p WHERE name NOT IN {_NO} AND NOT EXISTS (SELECT 1 FROM detected_trends t WHERE {_TOPIC.format('t.trend_name')} = p.name) GROUP BY 1",
-    "keyword_hits": f"SELECT id, count(DISTINCT url) AS n_articles FROM (SELECT id, lower(trim(unnest({_KEYS}))) AS k FROM detected_trends) g JOIN (SELECT url, lower(concat_ws(' ', title, content)) AS x FROM news_articles) a ON contains(a.x, g.k) AND len(list_intersect(regexp_extract_all(a.x, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), [list_reduce(list_prepend('', regexp_extract_all(g.k, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')), lambda p, w: CASE WHEN length(w) > length(p) THEN w ELSE p END)])) > 0 GROUP BY 1",
+    "keyword_hits": f"SELECT id, count(DISTINCT url) AS n_articles FROM (SELECT id, lower(trim(unnest({_KEYS}))) AS k FROM detected_trends) g JOIN (SELECT url, lower(concat_ws(' ', title, content)) AS x FROM news_articles) a ON contains(a.x, g.k) WHERE g.k <> '' GROUP BY 1",
     "bm25_articles": f"""WITH d AS (SELECT url, {_words("min(concat_ws(' ', title, short_description))")} AS ws FROM news_articles GROUP BY url), z AS (SELECT count(*) AS nd, avg(len(ws)) AS avgdl FROM d),
       p AS (SELECT url, len(ws) AS dl, w, count(*) AS tf FROM (SELECT url, ws, unnest(ws) AS w FROM d) GROUP BY ALL), f AS (SELECT w, count(*) AS n FROM p GROUP BY w),
       q AS (SELECT row_id, w, count(*) AS qtf FROM (SELECT row_id, unnest({_words("concat_ws(' ', trend, array_to_string(" + _KEYS + ", ' '))")}) AS w FROM google_trends) GROUP BY ALL),
       r AS (SELECT row_id, url, round(sum(qtf * ln(1 + (nd - n + 0.5) / (n + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS bm25 FROM p JOIN f USING (w) JOIN q USING (w), z GROUP BY ALL)
       SELECT row_id, url, bm25 FROM r QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY bm25 DESC, url) <= 3""",
-    "rrf_match": f"WITH {_CENT}, {_HEAD}, r AS (SELECT vec_id, label, round(1.0 / (60 + row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, label)) + 1.0 / (60 + row_number() OVER (PARTITION BY vec_id ORDER BY head DESC, label)), 9) AS rrf FROM h) SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY rrf DESC, label) = 1",
-    "linear_match": f"WITH {_CENT}, {_HEAD}, r AS (SELECT vec_id, label, round(0.6 * sim + 0.4 * CASE WHEN max(head) OVER (PARTITION BY vec_id) > 0 THEN head / max(head) OVER (PARTITION BY vec_id) ELSE 0 END, 6) AS fused FROM h) SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY fused DESC, label) = 1",
+    "rrf_match": f"""WITH {_POSTS}, k AS (SELECT topic, list_distinct(list(lower(trim(w)))) AS ks FROM (SELECT {_TOPIC.format('trend_name')} AS topic, unnest({_KEYS}) AS w FROM detected_trends) WHERE length(w) >= 3 GROUP BY topic),
+      s AS (SELECT p.id, c.topic, round({_dot('p.e', 'c.v', 96)} / (sqrt({_dot('p.e', 'p.e', 96)}) * sqrt({_dot('c.v', 'c.v', 96)})), 9) AS sim, CASE WHEN len(list_filter(coalesce(k.ks, []), lambda w: contains(lower(p.content), w))) > 0 THEN 1 ELSE 0 END AS hit FROM p CROSS JOIN c LEFT JOIN k ON k.topic = c.topic),
+      r AS (SELECT *, 1.0 / (60 + rank() OVER (PARTITION BY id ORDER BY sim DESC)) + 1.0 / (60 + rank() OVER (PARTITION BY id ORDER BY hit DESC)) AS rrf FROM s),
+      w AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY rrf DESC, sim DESC, topic) = 1) SELECT id, topic, round(rrf, 9) AS rrf, round(sim, 6) AS sim FROM w WHERE sim >= 0.65""",
+    "linear_match": f"""WITH {_POSTS}, t AS (SELECT * FROM (SELECT id, {_words("concat_ws(' ', trend_name, array_to_string(" + _KEYS + ", ' '))")} AS ws, {_PARSED} AS v FROM detected_trends) WHERE len(v) = 96 AND len(list_filter(v, lambda x: x <> 0)) > 0 AND len(list_filter(v, lambda x: isnan(x) OR isinf(x))) = 0),
+      z AS (SELECT count(*) AS nd, avg(len(ws)) AS avgdl FROM t), q AS (SELECT id, len(ws) AS dl, w, count(*) AS tf FROM (SELECT id, ws, unnest(ws) AS w FROM t) GROUP BY ALL), f AS (SELECT w, count(*) AS n FROM q GROUP BY w),
+      a AS (SELECT topic, w, count(*) AS qtf FROM (SELECT topic, unnest({_words('topic')}) AS w FROM c) GROUP BY ALL),
+      b AS (SELECT topic, id, sum(qtf * ln(1 + (nd - n + 0.5) / (n + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS bm25 FROM q JOIN f USING (w) JOIN a USING (w), z GROUP BY ALL),
+      s AS (SELECT c.topic, t.id, round({_dot('c.v', 't.v', 96)} / greatest(sqrt({_dot('c.v', 'c.v', 96)}) * sqrt({_dot('t.v', 't.v', 96)}), 1e-8), 9) AS sim, coalesce(bm25, 0) AS bm25, max(bm25) OVER (PARTITION BY c.topic) AS most FROM c CROSS JOIN t LEFT JOIN b ON b.topic = c.topic AND b.id = t.id),
+      r AS (SELECT *, round(least(1.0, 0.6 * sim + 0.4 * CASE WHEN most > 0 THEN bm25 / most ELSE 0 END), 9) AS fused FROM s WHERE sim >= 0.35)
+      SELECT topic, id, round(fused, 6) AS fused, round(sim, 6) AS sim FROM r QUALIFY row_number() OVER (PARTITION BY topic ORDER BY fused DESC, id) = 1""",
     "tfidf_topics": f"""WITH t AS (SELECT source, w, count(*) AS tf FROM (SELECT source, unnest({_words('title')}) AS w FROM news_articles) GROUP BY ALL), n AS (SELECT count(DISTINCT source) AS N FROM news_articles),
       f AS (SELECT w, count(*) AS df FROM t GROUP BY w), x AS (SELECT source, w, tf * (ln((1 + N) / (1 + df)) + 1) AS x FROM t JOIN f USING (w), n WHERE df >= 2 AND df <= N * 0.95),
       y AS (SELECT source, w, round(x / sqrt(sum(x * x) OVER (PARTITION BY source)), 6) AS weight FROM x) SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY source ORDER BY weight DESC, w) <= 5""",

@@ -229,7 +229,7 @@ def composite_scores(spark, d):
     return _components(spark, d).select("id", scoring.two_classes(F.col("g"), F.col("f"), F.col("n")).alias("class"), F.round(scoring.unified(F.col("google_vol"), F.col("interactions"), F.col("post_count")), 6).alias("score"))
 
 
-@query(f"SELECT id, CASE WHEN g > 10 AND f > 10 AND n > 10 THEN 'Strong Multi-source' WHEN g > 10 AND f > 10 THEN 'Search & Social' WHEN f > 10 AND n > 10 THEN 'Social & News' WHEN f > 10 THEN 'Social-Driven' WHEN n > 10 THEN 'News-Driven' WHEN g > 10 THEN 'Search-Driven' ELSE 'Emerging' END AS class FROM (SELECT id, g, f, least(100, 100.0 * post_count / 50) AS n FROM ({_GFN}) JOIN (SELECT id, post_count FROM detected_trends) USING (id))")
+@query(f"SELECT id, CASE WHEN g > 40 AND f > 40 AND n > 40 THEN 'Strong Multi-source' WHEN g > 40 AND f > 40 THEN 'Search & Social' WHEN f > 40 AND n > 40 THEN 'Social & News' WHEN f > 40 THEN 'Social-Driven' WHEN n > 40 THEN 'News-Driven' WHEN g > 40 THEN 'Search-Driven' ELSE 'Emerging' END AS class FROM (SELECT id, g, f, least(100, 100.0 * post_count / 50) AS n FROM ({_GFN}) JOIN (SELECT id, post_count FROM detected_trends) USING (id))")
 def driver_classes(spark, d):
     """Which kinds of sources drive each trend; coverage on a linear scale."""
     return _components(spark, d).select("id", scoring.seven_classes(F.col("g"), F.col("f"), scoring.linear_score(F.col("post_count"))).alias("class"))

@@ -46,6 +46,17 @@ def stream_averages(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("event_type").agg(F.max_by("n", "batch").alias("n"), F.round(F.max_by("ema", "batch"), 6).alias("ema"))
 
 
+def stream_hours(spark: SparkSession, d: str) -> DataFrame:
+    """Events by hour and type as a watermark of ten minutes gives them out: each hour once, when it is over."""
+    s = jobs.run_to_end(jobs.tumbling_counts(_events(spark, d), "ts", "event_type"))
+    return s.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
+
+
+def stream_unique(spark: SparkSession, d: str) -> DataFrame:
+    """Users by type of event, each counted once within the watermark."""
+    return jobs.run_to_end(jobs.once_each(_events(spark, d), "ts", ["user_id", "event_type"], "3650 days")).groupBy("event_type").agg(F.count("*").alias("n_users"))
+
+
 def _stream_state(spark: SparkSession, d: str) -> DataFrame:
     state = StateTable(spark, own_folder(spark, "state"))
     messages = jobs.file_messages(spark, f"{d}/posts_stream_v[1].parquet", table(spark, d, "posts_stream_v1").schema, 1)
@@ -97,12 +108,15 @@ def related_topics(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "stream_event_counts": stream_event_counts, "stream_bursts": stream_bursts, "stream_sessions": stream_sessions, "stream_averages": stream_averages, "stream_trend_state": stream_trend_state,
+    "stream_hours": stream_hours, "stream_unique": stream_unique, "stream_event_counts": stream_event_counts, "stream_bursts": stream_bursts, "stream_sessions": stream_sessions, "stream_averages": stream_averages, "stream_trend_state": stream_trend_state,
     "merged_trends": merged_trends, "vector_components": vector_components, "pruned_labels": pruned_labels, "k_means_sizes": k_means_sizes, "related_topics": related_topics,
 }
 from trendloom.plans.match_queries import _CENT, _NO, _TOPIC, _dot  # noqa: E402
 
 SQL = {
+    "stream_hours": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY date_trunc('hour', ts), 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
+    "stream_unique": "SELECT event_type, count(DISTINCT user_id) AS n_users FROM events GROUP BY event_type",
+    "stream_averages": "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, max(n) AS n, round(sum(value * CASE WHEN k = 1 THEN 1 ELSE 0.3 END * pow(0.7, n - k)), 6) AS ema FROM r GROUP BY event_type",
     "stream_event_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_bursts": "SELECT strftime(time_bucket(INTERVAL 30 MINUTE, ts) - k * INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M') AS start, count(*) AS n FROM events, range(4) r(k) GROUP BY 1",
     "stream_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), z AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY ALL) SELECT n, count(*) AS n_sessions FROM z GROUP BY n",

@@ -103,5 +103,6 @@ SQL = {
     "title_or_content": "SELECT article_id, CASE WHEN length(title) >= 5 THEN title ELSE substr(content, 1, 100) END AS headline FROM news_articles",
     "dated_titles": "SELECT article_id, regexp_matches(concat_ws(' ', title, short_description), '\\d{1,2}[/-]\\d{1,2}([/-]\\d{2,4})?') AS dated FROM news_articles",
     "trend_status": "SELECT id, coalesce(length(summary) > 20, false) AS analysed, coalesce(trend_score < 30, true) AS is_noise FROM detected_trends",
+    "smart_queries": f"SELECT id, array_to_string(list_reduce(list_prepend([lower(trend_name)], list_transform({_KEYS}, lambda k: [lower(k)])), lambda acc, k: CASE WHEN len(acc) <= 5 AND len(list_filter(acc, lambda s: contains(k[1], s) OR contains(s, k[1]))) = 0 THEN list_concat(acc, k) ELSE acc END), ' ') AS query FROM detected_trends WHERE trend_name IS NOT NULL AND keywords IS NOT NULL",
     "work_queue": "SELECT id, post_count FROM detected_trends WHERE (summary IS NULL OR trim(summary) = '') AND post_count >= 3 ORDER BY post_count DESC, id LIMIT 15",
 }

@@ -80,6 +80,29 @@ def json_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return text.select(F.explode(every).alias("x")).select("x.*")
 
 
+def named_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """``name`` and the fields of each object of a JSON file that is one object of objects."""
+    text = spark.read.option("wholetext", True).text(path)
+    return text.select(F.explode(F.from_json("value", f"map<string,struct<{schema}>>")).alias("name", "x")).select("name", "x.*")
+
+
+def json_lines(spark: SparkSession, path: str, schema: str, most: int | None = None) -> DataFrame:
+    """Objects of a file with one on each line, the first ``most`` of them in the file's order if given; broken lines are null."""
+    rows = spark.read.schema(schema).json(path)
+    return rows if most is None else rows.limit(most)
+
+
+#: Columns that tell an export of searches, articles or posts by its header, whatever their case and order.
+KINDS = {"articles": {"article_id", "title"}, "summaries": {"summaried_text"}, "posts": {"pagename"}, "labels": {"ground_truth", "grouth_truth", "label"}}
+
+
+def kind_of_csv(spark: SparkSession, path: str) -> str:
+    """What a CSV file holds, by its header alone: articles, summaries, posts, labels or searches."""
+    first = spark.read.text(path).limit(1).collect()
+    names = {x.strip().strip('"').lstrip("\ufeff").lower() for x in first[0][0].split(",")} if first else set()
+    return next((k for k, has in KINDS.items() if has & names == has or k == "labels" and has & names), "searches" if len(names) >= 5 else "unknown")
+
+
 def word_vectors(spark: SparkSession, path: str) -> DataFrame:
     """``word, vector`` from lines of a word and its numbers."""
     parts = F.split("value", " ")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,15 +70,21 @@ def once_each(events: DataFrame, ts: str, keys: list[str], late: str = "1 hour")
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def moving_average(events: DataFrame, key: str, value: str, weight: float = 0.3) -> DataFrame:
-    """``key, n, ema`` after each batch: an exponential moving average kept as state; a batch's values in order of ``ts``."""
+def moving_average(events: DataFrame, key: str, value: str, order: Sequence[str] = ("ts", "event_id"), weight: float = 0.3) -> DataFrame:
+    """``key, n, ema`` after each batch: an exponential moving average kept as state; a batch's values in the order of ``order``.
+
+    A batch's rows of a key are sorted and summed with their powers of the weight in one vector expression.
+    """
 
     def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, ema = state.get if state.exists else (0, 0.0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for v in rows[value]:
-            ema = float(v) if n == 0 else (1 - weight) * ema + weight * float(v)
-            n += 1
+        v = pd.concat(list(frames)).sort_values(list(order))[value].to_numpy(float)
+        powers = (1 - weight) ** np.arange(len(v) - 1, -1, -1.0)
+        weights = weight * powers
+        if not n and len(v):
+            weights[0] = powers[0]  # the first value ever is the average
+        ema = float(ema * (1 - weight) ** len(v) + weights @ v)
+        n += len(v)
         state.update((n, ema))
         yield pd.DataFrame({key: [k[0]], "n": [n], "ema": [ema]})
 
