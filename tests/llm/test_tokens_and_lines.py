@@ -81,6 +81,9 @@ def test_pairs_are_those_of_brute_force(spark):
     got = {tuple(r) for r in lookalike.lookalike_pairs(df, "id", "text", "tbl").collect()}
     want = {("a", i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and 3 not in (i, j) and a and b and a.strip() and a != b and lookalike.skeleton(a) == lookalike.skeleton(b)}
     assert got == want and len(want) == 4
+    c = {r["id"]: (r["class_id"], r["spelling_id"]) for r in lookalike.lookalike_classes(df, "id", "text", "tbl").collect()}
+    assert set(c) == {i for _, *ab in want for i in ab}
+    assert {(i, j) for i in c for j in c if i < j and c[i][0] == c[j][0] and c[i][1] != c[j][1]} == {tuple(ab) for _, *ab in want}
     assert lookalike.lookalike_pairs(df.limit(0), "id", "text", "tbl").count() == 0
     n = {r["id"]: (r["normalised"], r["changed"]) for r in lookalike.normalise_texts(df, "id", "text").collect()}
     assert n[1] == ("Tin nóng", True) and n[0] == ("Tin nóng", False) and n[5] == (None, False) and n[2] == ("Tin nóng", True)

@@ -165,19 +165,36 @@ def normalise_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out.select("id", "normalised", F.coalesce(F.col("normalised") != F.col("__t"), F.lit(False)).alias("changed"))
 
 
+def _keyed(df: DataFrame, id_col: str, text_col: str, by: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with fingerprints of their spelling and look, the spellings, and the looks that have several of them."""
+    t = spread(df.select(F.col(by).alias("by"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).where(F.col("t").rlike(r"[^\s\p{Z}\p{Cf}]")))
+    keyed = t.select("by", "id", F.unhex(F.md5(F.col("t").cast("binary"))).alias("spelling"), F.unhex(F.md5(_mapped(F.col("t"), "skeleton").cast("binary"))).alias("look"))
+    keyed = materialise(keyed)  # read several times: the texts are mapped once
+    spellings = keyed.groupBy("by", "look", "spelling").agg(F.min("id").alias("least"))
+    several = spellings.groupBy("by", "look").agg(F.min("spelling").alias("first"), F.max("spelling").alias("last"), F.min("least").alias("class_id")).where("first <> last").select("by", "look", "class_id")
+    return keyed, spellings, several
+
+
+def lookalike_classes(df: DataFrame, id_col: str, text_col: str, by: str) -> DataFrame:
+    """``by, id, class_id, spelling_id``: the rows of each class of texts that look the same and have several spellings.
+
+    ``class_id`` is the smallest id of the class, ``spelling_id`` that of the rows of the same string: one row a row, and no pair.
+    Defined cases as in ``lookalike_pairs``.
+    """
+    keyed, spellings, several = _keyed(df, id_col, text_col, by)
+    return keyed.join(several, ["by", "look"]).join(spellings, ["by", "look", "spelling"]).select("by", "id", "class_id", F.col("least").alias("spelling_id"))
+
+
 def lookalike_pairs(df: DataFrame, id_col: str, text_col: str, by: str) -> DataFrame:
     """``by, id_a, id_b`` with ``id_a < id_b``: rows of one ``by`` whose texts look the same and aren't the same string.
 
     Defined cases: null and blank texts make no pair; identical strings make no pair, but each of two identical
     rows makes one with every different look-alike; other columns are not looked at; an empty table gives none.
     Different spellings are paired first, over fingerprints of 128 bits, and only then are the rows of either
-    spelling joined: copies of one spelling never meet each other, and the shuffles carry no text.
+    spelling joined: copies of one spelling never meet each other, and the shuffles carry no text. Where pairs aren't asked for,
+    ``lookalike_classes`` says the same by one row a row.
     """
-    t = spread(df.select(F.col(by).alias("by"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).where(F.col("t").rlike(r"[^\s\p{Z}\p{Cf}]")))
-    keyed = t.select("by", "id", F.unhex(F.md5(F.col("t").cast("binary"))).alias("spelling"), F.unhex(F.md5(_mapped(F.col("t"), "skeleton").cast("binary"))).alias("look"))
-    keyed = materialise(keyed)  # read several times below: the texts are mapped once
-    spellings = keyed.groupBy("by", "look", "spelling").agg(F.count("*").alias("n"))
-    several = spellings.groupBy("by", "look").agg(F.min("spelling").alias("first"), F.max("spelling").alias("last")).where("first <> last").select("by", "look")
+    keyed, spellings, several = _keyed(df, id_col, text_col, by)
     one = spellings.select("by", "look", "spelling").join(several, ["by", "look"], "left_semi")
     pairs = one.join(one.withColumnRenamed("spelling", "other"), ["by", "look"]).where("spelling < other")
     rows = keyed.join(several, ["by", "look"], "left_semi")

@@ -19,10 +19,15 @@ def found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(_texts(spark, d), "id", "text", "tbl").withColumnRenamed("by", "tbl")
 
 
+def classes(spark: SparkSession, d: str) -> DataFrame:
+    """The same as classes: each row of one with the smallest id of its class and of its spelling."""
+    return lookalike.lookalike_classes(_texts(spark, d), "id", "text", "tbl").withColumnRenamed("by", "tbl")
+
+
 def normalised(spark: SparkSession, d: str) -> DataFrame:
     """Every post text in its one consistent form."""
     return lookalike.normalise_texts(table(spark, d, "processed_posts"), "id", "content")
 
 
-QUERIES = {"p6_found": found, "p6_normalised": normalised}
+QUERIES = {"p6_found": found, "p6_classes": classes, "p6_normalised": normalised}
 SQL: dict[str, str] = {}
