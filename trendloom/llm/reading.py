@@ -29,7 +29,7 @@ MOST_GRADED = 2_000
 #: Graded documents that must have a word or pair; passes of the optimiser; penalty; rounds of leaving out foreign sentences.
 LEAST_DOCUMENTS, STEPS, PENALTY, REFINED = 3, 120, 1e-3, 2
 #: Documents or sentences whose pairs make one step's gradient; if there are more, the steps take them in turn.
-BATCH = 2_000
+BATCH = 1_000
 LEVELS = (1, 2, 3, 4)
 LEAST_WORDS = 40
 
