@@ -73,7 +73,7 @@ def cosine_silhouette(df: DataFrame, id_col: str, label: str, vector: str, size:
                 s[n, own[k]] = -np.inf
         return pd.DataFrame({id_col: part[id_col].to_numpy(), "__near": s.max(axis=1)})
 
-    other = over_blocks(u, g, "__u", label, "__m", nearest, schema, products=True).groupBy(id_col).agg(F.max("__near").alias("__near"))
+    other = over_blocks(u, g, "__u", label, "__m", nearest, schema, products=True)[0].groupBy(id_col).agg(F.max("__near").alias("__near"))
     x = u.join(g, label).join(other, id_col)
     a = 1 - (F.col("__n") * vectors.dot(F.col("__u"), F.col("__m")) - 1) / (F.col("__n") - 1)
     b = 1 - F.col("__near")

@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from trendloom.functions import vectors
 from trendloom.functions.text import tokens
+from trendloom.session import materialise
 
 #: Trends (or centroids) that a worker holds at once, and terms of one automaton; more are taken in blocks, one after the other.
 BLOCK_TRENDS, BLOCK_TERMS = 20_000, 200_000
@@ -28,10 +29,16 @@ def centroids(df: DataFrame, label: str, vector: str, size: int) -> DataFrame:
     return df.groupBy(label).agg(vectors.mean_vector(F.col(vector), size).alias("centroid"), F.count("*").alias("n"))
 
 
-def _blocks(df: DataFrame, key: str, most: int) -> list[DataFrame]:
-    """``df`` in parts of about ``most`` rows at most, by a hash of ``key``; one part where they are few."""
+def _blocks(df: DataFrame, key: str, most: int) -> Iterator[list]:
+    """The rows of ``df`` in blocks of about ``most`` at most, by a hash of ``key``; few rows are one block and read once."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) <= most:
+        yield rows
+        return
+    df = materialise(df)
     n = math.ceil(df.count() / most)
-    return [df.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) for k in range(n)] if n > 1 else [df]
+    for k in range(n):
+        yield df.where(F.pmod(F.xxhash64(key), F.lit(n)) == k).collect()
 
 
 def _units(rows: list) -> np.ndarray:
@@ -39,15 +46,16 @@ def _units(rows: list) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-8)
 
 
-def over_blocks(posts: DataFrame, trends: DataFrame, vector: str, trend_id: str, trend_vector: str, make: Callable, schema: StructType, products: bool = False) -> DataFrame:
+def over_blocks(posts: DataFrame, trends: DataFrame, vector: str, trend_id: str, trend_vector: str, make: Callable, schema: StructType, products: bool = False) -> tuple[DataFrame, int]:
     """``make(batch, cosines, ids)`` over all posts for each block of trends, whose ids are sorted; posts of an odd length are left
-    out. With ``products`` the plain products of the vectors are given instead of their cosines."""
+    out. With ``products`` the plain products of the vectors are given instead of their cosines. Also the number of blocks."""
     spark = posts.sparkSession
-    out = None
+    out, n = None, 0
     for block in _blocks(trends.where(F.col(trend_vector).isNotNull()).select(trend_id, trend_vector), trend_id, BLOCK_TRENDS):
-        rows = sorted((r[0], r[1]) for r in block.collect())  # at most about BLOCK_TRENDS
+        rows = sorted((r[0], r[1]) for r in block)
         if not rows:
             continue
+        n += 1
         shape = (lambda x: np.array([list(v) for v in x], float)) if products else _units
         shared = spark.sparkContext.broadcast(([r[0] for r in rows], shape([r[1] for r in rows])))
 
@@ -61,7 +69,7 @@ def over_blocks(posts: DataFrame, trends: DataFrame, vector: str, trend_id: str,
 
         one = posts.mapInPandas(run, schema)
         out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], schema)
+    return (out if out is not None else spark.createDataFrame([], schema)), n
 
 
 def top_matches(posts: DataFrame, trends: DataFrame, post_id: str, vector: str, trend_id: str, trend_vector: str, floor: float | None = None, k: int = 1) -> DataFrame:
@@ -76,8 +84,8 @@ def top_matches(posts: DataFrame, trends: DataFrame, post_id: str, vector: str,
         top = s.argmax(axis=1)[:, None] if k == 1 else np.argsort(-s, axis=1, kind="stable")[:, :k]
         return pd.DataFrame({post_id: np.repeat(part[post_id].to_numpy(), top.shape[1]), trend_id: [known[t] for t in top.ravel()], "sim": np.take_along_axis(s, top, axis=1).ravel(), "rank": np.tile(np.arange(1, top.shape[1] + 1, dtype=np.int32), len(top))})
 
-    out = over_blocks(posts.select(post_id, vector), trends, vector, trend_id, trend_vector, best, ids)
-    if trends.count() > BLOCK_TRENDS:
+    out, blocks = over_blocks(posts.select(post_id, vector), trends, vector, trend_id, trend_vector, best, ids)
+    if blocks > 1:
         out = out.withColumn("rank", F.row_number().over(Window.partitionBy(post_id).orderBy(F.desc("sim"), trend_id))).where(F.col("rank") <= k)
     return out if floor is None else out.where(F.col("sim") >= floor)
 
@@ -95,7 +103,7 @@ def keyword_matches(posts: DataFrame, terms: DataFrame, post_id: str, text: str,
     out = None
     for block in _blocks(named, "__term", BLOCK_TERMS):
         of: dict[str, list] = {}
-        for r in block.collect():  # at most about BLOCK_TERMS
+        for r in block:
             of.setdefault(r["__term"], []).append(r[0])
         if not of:
             continue
@@ -149,7 +157,8 @@ def hybrid_matches(posts: DataFrame, trends: DataFrame, hits: DataFrame, post_id
         return pd.DataFrame(out)
 
     far = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct((-F.col(c)).alias("s"), F.col(f"{c}_id").alias("i")))).alias(c)
-    best = over_blocks(p, trends, vector, trend_id, trend_vector, nearest, ends).groupBy(post_id).agg(far("hit"), far("non"))
+    trends = materialise(trends.select(trend_id, trend_vector))  # read in two passes
+    best = over_blocks(p, trends, vector, trend_id, trend_vector, nearest, ends)[0].groupBy(post_id).agg(far("hit"), far("non"))
     best = best.select(post_id, (-F.col("hit.s")).alias("hit"), F.col("hit.i").alias("hit_id"), (-F.col("non.s")).alias("non"), F.col("non.i").alias("non_id"))
     above = StructType([at, StructField("over_hit", IntegerType()), StructField("over_non", IntegerType())])
 
@@ -157,7 +166,7 @@ def hybrid_matches(posts: DataFrame, trends: DataFrame, hits: DataFrame, post_id
         hit, non = (part[c].fillna(9.0).to_numpy(float)[:, None] for c in ("hit", "non"))
         return pd.DataFrame({post_id: part[post_id].to_numpy(), "over_hit": (s > hit).sum(axis=1).astype(np.int32), "over_non": ((s > non) & mask(part, known)).sum(axis=1).astype(np.int32)})
 
-    n = over_blocks(p.join(best.select(post_id, "hit", "non"), post_id), trends, vector, trend_id, trend_vector, count, above)
+    n = over_blocks(p.join(best.select(post_id, "hit", "non"), post_id), trends, vector, trend_id, trend_vector, count, above)[0]
     n = n.groupBy(post_id).agg(F.sum("over_hit").alias("over_hit"), F.sum("over_non").alias("over_non"))
     x = best.join(n, post_id).join(p.select(post_id, F.coalesce(F.size("__hits"), F.lit(0)).alias("n_hits")), post_id)
     one = F.struct((-(1.0 / (k + 1 + F.col("over_hit")) + 1.0 / (k + 1))).alias("r"), (-F.col("hit")).alias("s"), F.col("hit_id").alias("t"))
