@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from trendloom.functions.salvage import mended
 from trendloom.operators import agreement, graph, matching, pipeline
 from trendloom.operators.state import StateTable, empty_state
+from trendloom.plans import match_queries
 from trendloom.session import numbered, own_folder
 
+from .compare import same as same_frames
+
 rng = np.random.default_rng(12)
 
 
@@ -60,6 +63,51 @@ def test_terms_are_found_inside_words(spark, monkeypatch, block):
     assert matching.keyword_matches(posts, terms.limit(0), "id", "text", "t", "term").count() == 0
 
 
+def shuffled_rows(spark, f):
+    """Rows that the stages of ``f()`` hand to one another."""
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark.sparkContext._jsc.sc().statusStore()
+
+    def total():
+        bus.waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteRecords() for k in range(stages.size())}
+
+    before = total()
+    f()
+    return sum(n for stage, n in total().items() if stage not in before)
+
+
+@pytest.fixture(scope="module")
+def shared_words(spark, tmp_path_factory):
+    """A folder of 300 trends that share a keyword, which stands in 400 articles and posts; some of both are null or come again."""
+    d = str(tmp_path_factory.mktemp("shared"))
+    text = lambda n: None if n % 50 == 7 else f"Có bão lớn số {n}" if n % 4 else "trời yên"
+    spark.createDataFrame([(n, f"bão, Số {n}" if n % 3 else f'[" BÃO ", "yên{n}"]', f"tên {n % 7}") for n in range(300)], "id long, keywords string, trend_name string").write.parquet(f"{d}/detected_trends.parquet")
+    spark.createDataFrame([(None if n % 40 == 3 else f"u{n % 390}", "t", text(n)) for n in range(400)], "url string, title string, content string").write.parquet(f"{d}/news_articles.parquet")
+    vectors = unit(7, 96)
+    spark.createDataFrame([(n, text(n), f"tên {n % 7}", [float(x) for x in vectors[n % 7] + vectors[n % 5] / 2]) for n in range(400)], "id long, content string, final_topic string, embedding array<float>").write.parquet(f"{d}/processed_posts.parquet")
+    return d
+
+
+def sql_of(d, name):
+    import duckdb
+
+    import __spark_entry__
+
+    c = duckdb.connect()
+    for t in ("detected_trends", "news_articles", "processed_posts"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet/*.parquet'")
+    return c.execute(__spark_entry__.oracle_sql()[name]).df()
+
+
+@pytest.mark.parametrize("block", [50, 100_000])
+def test_articles_of_a_shared_keyword_are_counted_without_pairs(spark, monkeypatch, shared_words, block):
+    monkeypatch.setattr(matching, "BLOCK_TERMS", block)
+    got = []
+    assert shuffled_rows(spark, lambda: got.append(match_queries.keyword_hits(spark, shared_words).toPandas())) < 20_000  # of 90,000 pairs
+    same_frames(got[0], sql_of(shared_words, "keyword_hits"))
+
+
 def test_similar_pairs_in_blocks(spark):
     x = unit(60, 4)
     df = spark.createDataFrame([(n, list(map(float, v))) for n, v in enumerate(x)] + [(99, None)], "id long, v array<double>")

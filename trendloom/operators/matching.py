@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from trendloom.functions import vectors
 from trendloom.functions.text import tokens
@@ -17,6 +18,8 @@ from trendloom.session import materialise
 
 #: Trends (or centroids) that a worker holds at once, and terms of one automaton; more are taken in blocks, one after the other.
 BLOCK_TRENDS, BLOCK_TERMS = 20_000, 200_000
+#: Pairs of a post and a term that a worker holds before it passes them on, and posts whose terms are one row of bits.
+PAIRS, POSTS = 100_000, 1024
 
 
 def usable(v: Column, size: int) -> Column:
@@ -96,8 +99,18 @@ def keyword_matches(posts: DataFrame, terms: DataFrame, post_id: str, text: str,
     All terms are one automaton (a block of ``BLOCK_TERMS``), which every text runs through once: the work grows with the texts and
     not with the product of texts and terms.
     """
+    out = _found(posts, terms, post_id, text, term_id, term)
+    return out.distinct() if out is not None else posts.sparkSession.createDataFrame([], _pair(posts, post_id, terms, term_id))
+
+
+def _pair(a: DataFrame, a_id: str, b: DataFrame, b_id: str) -> StructType:
+    return StructType([StructField(a_id, a.schema[a_id].dataType), StructField(b_id, b.schema[b_id].dataType)])
+
+
+def _found(posts: DataFrame, terms: DataFrame, post_id: str, text: str, term_id: str, term: str) -> DataFrame | None:
+    """As ``keyword_matches``, but a pair may come again; None without terms."""
     spark = posts.sparkSession
-    schema = StructType([StructField(post_id, posts.schema[post_id].dataType), StructField(term_id, terms.schema[term_id].dataType)])
+    schema = _pair(posts, post_id, terms, term_id)
     named = terms.select(F.col(term_id), F.lower(F.trim(term)).alias("__term")).where("__term <> ''").distinct()
     texts = posts.select(post_id, F.lower(text).alias("__text")).where("__text IS NOT NULL")
     out = None
@@ -117,12 +130,73 @@ def keyword_matches(posts: DataFrame, terms: DataFrame, post_id: str, text: str,
                 automaton.add_word(t, own)
             automaton.make_automaton()
             for b in batches:
-                pairs = [(p, i) for p, x in zip(b[post_id], b["__text"]) for i in {i for _, own in automaton.iter(x) for i in own}]
+                pairs = []
+                for p, x in zip(b[post_id], b["__text"]):
+                    pairs += [(p, i) for i in {i for _, own in automaton.iter(x) for i in own}]
+                    if len(pairs) >= PAIRS:
+                        yield pd.DataFrame(pairs, columns=[post_id, term_id])
+                        pairs = []
                 yield pd.DataFrame(pairs, columns=[post_id, term_id])
 
         one = texts.mapInPandas(run, schema)
         out = one if out is None else out.unionByName(one)
-    return out.distinct() if out is not None else spark.createDataFrame([], schema)
+    return out
+
+
+def keyword_counts(posts: DataFrame, terms: DataFrame, post_id: str, text: str, term_id: str, term: str) -> DataFrame:
+    """``term_id, n, nulls``: to how many ``post_id`` a text belongs that contains a term of ``term_id``, those that are null
+    being counted as one in ``nulls``; only the ``term_id`` that have one.
+
+    A post is a row with its terms. The ``term_id`` that they stand for are counted over bits, ``POSTS`` posts at once: as each
+    new trend brings its keywords to as many posts as there are, pairs of a post and a ``term_id`` would grow with the product.
+    """
+    spark = posts.sparkSession
+    named = terms.select(F.col(term_id), F.lower(F.trim(term)).alias("__term")).where("__term <> ''").distinct()
+    kind = StructType([StructField(term_id, terms.schema[term_id].dataType), StructField("n", LongType()), StructField("nulls", LongType())])
+    words = named.select("__term", F.col("__term").alias("__word")).distinct()
+    found = _found(posts, words, post_id, text, "__word", "__term")
+    if found is None:
+        return spark.createDataFrame([], kind)
+    own = found.groupBy(post_id).agg(F.collect_set("__word").alias("__words")).select(F.col(post_id).isNull().alias("__null"), "__words")
+    blocks = _blocks(named, term_id, BLOCK_TERMS)
+    first_two = list(islice(blocks, 2))
+    own = materialise(own) if len(first_two) > 1 else own  # read for each block
+    out = None
+    for block in chain(first_two, blocks):
+        ids: dict = {}
+        numbers: dict[str, int] = {}
+        pairs = sorted((ids.setdefault(r[0], len(ids)), numbers.setdefault(r["__term"], len(numbers))) for r in block)
+        shared = spark.sparkContext.broadcast((list(ids), numbers, np.array(pairs, np.int64).reshape(-1, 2)))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, numbers, pairs = shared.value
+            n, nulls = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            for b in batches:
+                for at in range(0, len(b), POSTS):
+                    part = b.iloc[at : at + POSTS]
+                    seen = [(numbers[w], k) for k, ws in enumerate(part["__words"]) for w in ws if w in numbers]
+                    if not seen:
+                        continue
+                    term_, post = np.array(seen).T
+                    known, row = np.unique(term_, return_inverse=True)
+                    bits = np.zeros((len(known), POSTS // 64), np.uint64)
+                    np.bitwise_or.at(bits, (row, post >> 6), np.uint64(1) << (post & 63).astype(np.uint64))
+                    place = np.full(len(numbers), -1)
+                    place[known] = np.arange(len(known))
+                    asked = pairs[place[pairs[:, 1]] >= 0]
+                    first = np.flatnonzero(np.r_[True, asked[1:, 0] != asked[:-1, 0]])
+                    any_ = np.bitwise_or.reduceat(bits[place[asked[:, 1]]], first, axis=0)
+                    null = np.zeros(POSTS, bool)
+                    null[: len(part)] = part["__null"]
+                    null = np.packbits(null, bitorder="little").view(np.uint64)
+                    n[asked[first, 0]] += np.bitwise_count(any_ & ~null).sum(axis=1, dtype=np.int64)
+                    nulls[asked[first, 0]] += np.bitwise_count(any_ & null).sum(axis=1, dtype=np.int64)
+            hit = np.flatnonzero(n + nulls)
+            yield pd.DataFrame({term_id: pd.Series([ids[k] for k in hit], dtype=object), "n": n[hit], "nulls": nulls[hit]})
+
+        one = own.mapInPandas(run, kind)
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy(term_id).agg(F.sum("n").alias("n"), F.sum("nulls").alias("nulls"))
 
 
 def hybrid_matches(posts: DataFrame, trends: DataFrame, hits: DataFrame, post_id: str, vector: str, trend_id: str, trend_vector: str, floor: float = 0.65, k: int = 60) -> DataFrame:

@@ -49,7 +49,7 @@ def keyword_hits(spark: SparkSession, d: str) -> DataFrame:
     """Articles that contain a keyword of a trend, per trend."""
     a = table(spark, d, "news_articles").select("url", F.concat_ws(" ", "title", "content").alias("text"))
     k = table(spark, d, "detected_trends").select("id", F.explode(keyword_list(F.col("keywords"))).alias("k"))
-    return matching.keyword_matches(a, k, "url", "text", "id", "k").groupBy("id").agg(F.countDistinct("url").alias("n_articles"))
+    return matching.keyword_counts(a, k, "url", "text", "id", "k").select("id", F.col("n").alias("n_articles"))
 
 
 def bm25_articles(spark: SparkSession, d: str) -> DataFrame:
