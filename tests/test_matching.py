@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trendloom.functions.salvage import mended
 from trendloom.operators import agreement, graph, matching, pipeline
 from trendloom.operators.state import StateTable, empty_state
-from trendloom.plans import match_queries
+from trendloom.plans import inventory_queries, match_queries
 from trendloom.session import numbered, own_folder
 
 from .compare import same as same_frames
@@ -108,6 +108,12 @@ def test_articles_of_a_shared_keyword_are_counted_without_pairs(spark, monkeypat
     same_frames(got[0], sql_of(shared_words, "keyword_hits"))
 
 
+def test_posts_of_a_shared_keyword_are_counted_without_pairs(spark, shared_words):
+    got = []
+    assert shuffled_rows(spark, lambda: got.append(inventory_queries.keyword_trends(spark, shared_words).toPandas())) < 20_000  # of 90,000 pairs
+    same_frames(got[0], sql_of(shared_words, "keyword_trends"))
+
+
 def test_similar_pairs_in_blocks(spark):
     x = unit(60, 4)
     df = spark.createDataFrame([(n, list(map(float, v))) for n, v in enumerate(x)] + [(99, None)], "id long, v array<double>")

@@ -177,8 +177,8 @@ SELECT id, count(*) AS post_count, least(95, 50 + count(*)) AS score FROM h GROU
 def keyword_trends(spark, d):
     """Trends with the posts that contain any of their keywords, if at least two do."""
     k = table(spark, d, "detected_trends").select("id", F.explode(keyword_list(F.col("keywords"))).alias("k"))
-    h = matching.keyword_matches(table(spark, d, "processed_posts").select(F.col("id").alias("post"), "content"), k, "post", "content", "id", "k")
-    return h.groupBy("id").agg(F.count("*").alias("post_count")).where("post_count >= 2").withColumn("score", F.least(F.lit(95).cast("bigint"), 50 + F.col("post_count")))
+    h = matching.keyword_counts(table(spark, d, "processed_posts").select(F.col("id").alias("post"), "content"), k, "post", "content", "id", "k")
+    return h.select("id", (F.col("n") + F.col("nulls")).alias("post_count")).where("post_count >= 2").withColumn("score", F.least(F.lit(95).cast("bigint"), 50 + F.col("post_count")))
 
 
 @query(f"SELECT topic, post_count, rep_ids FROM (SELECT topic, max(n) AS post_count, list(id ORDER BY id) FILTER (r <= 10) AS rep_ids FROM (SELECT topic, id, count(*) OVER (PARTITION BY topic) AS n, row_number() OVER (PARTITION BY topic ORDER BY id) AS r FROM {_PT}) GROUP BY topic) WHERE post_count >= 2")
