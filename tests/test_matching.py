@@ -114,6 +114,15 @@ def test_posts_of_a_shared_keyword_are_counted_without_pairs(spark, shared_words
     same_frames(got[0], sql_of(shared_words, "keyword_trends"))
 
 
+@pytest.mark.parametrize("block", [3, 1000])
+def test_topics_of_a_shared_keyword_are_ranked_without_pairs(spark, monkeypatch, shared_words, block):
+    monkeypatch.setattr(matching, "BLOCK_TRENDS", block)
+    made, over = [], matching.keyword_matches
+    monkeypatch.setattr(matching, "keyword_matches", lambda *a: made.append(over(*a)) or made[-1])
+    same_frames(match_queries.rrf_match(spark, shared_words).toPandas(), sql_of(shared_words, "rrf_match"))
+    assert made[0].count() < 800  # a post and a keyword; of a post and a topic 2,000
+
+
 def test_similar_pairs_in_blocks(spark):
     x = unit(60, 4)
     df = spark.createDataFrame([(n, list(map(float, v))) for n, v in enumerate(x)] + [(99, None)], "id long, v array<double>")

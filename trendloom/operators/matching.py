@@ -17,7 +17,9 @@ from trendloom.functions.text import tokens
 from trendloom.session import materialise
 
 #: Trends (or centroids) that a worker holds at once, and terms of one automaton; more are taken in blocks, one after the other.
-BLOCK_TRENDS, BLOCK_TERMS = 20_000, 200_000
+BLOCK_TRENDS, BLOCK_TERMS = 65_536, 200_000
+#: Products of posts and trends that a worker holds at once.
+PRODUCTS = 2_000_000
 #: Pairs of a post and a term that a worker holds before it passes them on, and posts whose terms are one row of bits.
 PAIRS, POSTS = 100_000, 1024
 
@@ -32,43 +34,66 @@ def centroids(df: DataFrame, label: str, vector: str, size: int) -> DataFrame:
     return df.groupBy(label).agg(vectors.mean_vector(F.col(vector), size).alias("centroid"), F.count("*").alias("n"))
 
 
-def _blocks(df: DataFrame, key: str, most: int) -> Iterator[list]:
-    """The rows of ``df`` in blocks of about ``most`` at most, by a hash of ``key``; few rows are one block and read once."""
-    rows = df.limit(most + 1).collect()
-    if len(rows) <= most:
-        yield rows
+def _split(df: DataFrame, key: str, most: int) -> Iterator[tuple[DataFrame, Callable[[DataFrame], DataFrame]]]:
+    """``df`` in blocks of about ``most`` rows at most, by a hash of ``key``, each with what takes the rows of its keys from
+    another table with that column; few rows are one block and read once."""
+    rows = df.limit(most + 1).toArrow()
+    if rows.num_rows <= most:
+        yield rows, lambda other: other
         return
+    del rows
     df = materialise(df)
     n = math.ceil(df.count() / most)
     for k in range(n):
-        yield df.where(F.pmod(F.xxhash64(key), F.lit(n)) == k).collect()
+        own = F.pmod(F.xxhash64(key), F.lit(n)) == k
+        yield df.where(own).toArrow(), lambda other, own=own: other.where(own)
 
 
-def _units(rows: list) -> np.ndarray:
-    x = np.array([list(r) for r in rows], float)
+def _blocks(df: DataFrame, key: str, most: int) -> Iterator[list[dict]]:
+    return (rows.to_pylist() for rows, _ in _split(df, key, most))
+
+
+def _matrix(rows: Sequence) -> np.ndarray:
+    return np.stack([np.asarray(r, float) for r in rows])
+
+
+def _units(rows: Sequence) -> np.ndarray:
+    x = _matrix(rows)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-8)
 
 
-def over_blocks(posts: DataFrame, trends: DataFrame, vector: str, trend_id: str, trend_vector: str, make: Callable, schema: StructType, products: bool = False) -> tuple[DataFrame, int]:
+def over_blocks(posts: DataFrame, trends: DataFrame, vector: str, trend_id: str, trend_vector: str, make: Callable, schema: StructType, products: bool = False, owners: DataFrame | None = None, key: str = "") -> tuple[DataFrame, int]:
     """``make(batch, cosines, ids)`` over all posts for each block of trends, whose ids are sorted; posts of an odd length are left
-    out. With ``products`` the plain products of the vectors are given instead of their cosines. Also the number of blocks."""
+    out. With ``products`` the plain products of the vectors are given instead of their cosines. With ``owners`` (``key, trend_id``)
+    ``make`` also gets the places of the ids of each key, and cosines that aren't rounded. Also the number of blocks."""
     spark = posts.sparkSession
     out, n = None, 0
-    for block in _blocks(trends.where(F.col(trend_vector).isNotNull()).select(trend_id, trend_vector), trend_id, BLOCK_TRENDS):
-        rows = sorted((r[0], r[1]) for r in block)
-        if not rows:
+    for block, within in _split(trends.where(F.col(trend_vector).isNotNull()).select(trend_id, trend_vector), trend_id, BLOCK_TRENDS):
+        if not block.num_rows:
             continue
         n += 1
-        shape = (lambda x: np.array([list(v) for v in x], float)) if products else _units
-        shared = spark.sparkContext.broadcast(([r[0] for r in rows], shape([r[1] for r in rows])))
+        shape = _matrix if products else _units
+        ids = block.column(0).to_pylist()
+        order = sorted(range(len(ids)), key=ids.__getitem__)
+        ids = [ids[k] for k in order]
+        places = None
+        if owners is not None:
+            at, places = {t: k for k, t in enumerate(ids)}, {}
+            for of, t in zip(*(c.to_pylist() for c in within(owners.select(key, trend_id)).toArrow().columns)):
+                if t in at:
+                    places.setdefault(of, []).append(at[t])
+            places = {of: np.unique(np.array(p, np.int32)) for of, p in places.items()}
+        shared = spark.sparkContext.broadcast((ids, shape(block.column(1).to_numpy())[order], places))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared, shape=shape) -> Iterator[pd.DataFrame]:
-            ids, c = shared.value
+            ids, c, places = shared.value
+            step = max(1, min(512, PRODUCTS // len(ids)))
             for b in batches:
                 b = b[[v is not None and len(v) == c.shape[1] for v in b[vector]]]
-                for at in range(0, len(b), 512):
-                    part = b.iloc[at : at + 512]
-                    yield make(part, np.round(shape(part[vector].to_list()) @ c.T, 9), ids)
+                for at in range(0, len(b), step):
+                    part = b.iloc[at : at + step]
+                    s = shape(part[vector].to_list()) @ c.T
+                    yield make(part, np.round(s, 9), ids) if places is None else make(part, s, ids, places)
 
         one = posts.mapInPandas(run, schema)
         out = one if out is None else out.unionByName(one)
@@ -117,7 +142,7 @@ def _found(posts: DataFrame, terms: DataFrame, post_id: str, text: str, term_id:
     for block in _blocks(named, "__term", BLOCK_TERMS):
         of: dict[str, list] = {}
         for r in block:
-            of.setdefault(r["__term"], []).append(r[0])
+            of.setdefault(r["__term"], []).append(r[term_id])
         if not of:
             continue
         shared = spark.sparkContext.broadcast(of)
@@ -165,7 +190,7 @@ def keyword_counts(posts: DataFrame, terms: DataFrame, post_id: str, text: str,
     for block in chain(first_two, blocks):
         ids: dict = {}
         numbers: dict[str, int] = {}
-        pairs = sorted((ids.setdefault(r[0], len(ids)), numbers.setdefault(r["__term"], len(numbers))) for r in block)
+        pairs = sorted((ids.setdefault(r[term_id], len(ids)), numbers.setdefault(r["__term"], len(numbers))) for r in block)
         shared = spark.sparkContext.broadcast((list(ids), numbers, np.array(pairs, np.int64).reshape(-1, 2)))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -199,56 +224,71 @@ def keyword_counts(posts: DataFrame, terms: DataFrame, post_id: str, text: str,
     return out.groupBy(term_id).agg(F.sum("n").alias("n"), F.sum("nulls").alias("nulls"))
 
 
-def hybrid_matches(posts: DataFrame, trends: DataFrame, hits: DataFrame, post_id: str, vector: str, trend_id: str, trend_vector: str, floor: float = 0.65, k: int = 60) -> DataFrame:
+def hybrid_matches(posts: DataFrame, trends: DataFrame, hits: DataFrame, post_id: str, vector: str, trend_id: str, trend_vector: str, floor: float = 0.65, k: int = 60, owners: DataFrame | None = None, key: str = "") -> DataFrame:
     """``post_id, trend_id, rrf, sim``: the trend of each post by the fused ranks of its cosine and of its keywords.
 
-    ``hits`` has the pairs ``post_id, trend_id`` that share a keyword. A trend's score is 1 / (k + its rank by cosine) + 1 / (k + its
-    rank by keyword), where equal values share the better rank; the winner counts only if its cosine is at least ``floor``. Only
-    the nearest trend with a keyword and the nearest one without can win, so that no pair of a post and a trend is ever a row.
+    ``hits`` has the pairs ``post_id, trend_id`` that share a keyword or, if ``owners`` has the pairs ``key, trend_id``, the pairs
+    ``post_id, key`` of posts and keywords, which don't grow with the trends of a keyword. A trend's score is 1 / (k + its rank by
+    cosine) + 1 / (k + its rank by keyword), where equal values share the better rank; the winner counts only if its cosine is at
+    least ``floor``. Only the nearest trend with a keyword and the nearest one without can win, so that no pair of a post and a trend
+    is ever a row. One block of trends is passed once, several twice: for the nearest, then for the ranks among all.
     """
-    own = hits.groupBy(post_id).agg(F.collect_set(trend_id).alias("__hits"))
+    trends = materialise(trends.select(trend_id, trend_vector))  # read for each block, and in two passes
+    if owners is None:
+        key = trend_id
+        pairs = trends.select(F.col(trend_id).alias("__key"), trend_id)
+    else:
+        pairs = materialise(owners.select(F.col(key).alias("__key"), trend_id))
+    own = hits.groupBy(post_id).agg(F.collect_set(key).alias("__hits"))
     p = posts.where(F.col(vector).isNotNull()).select(post_id, vector).join(own, post_id, "left")
-    at = StructField(post_id, posts.schema[post_id].dataType)
     named = trends.schema[trend_id].dataType
-    ends = StructType([at, StructField("hit", DoubleType()), StructField("hit_id", named), StructField("non", DoubleType()), StructField("non_id", named)])
+    kind = StructType([StructField(post_id, posts.schema[post_id].dataType), *[StructField(f"{c}{x}", named if x else DoubleType()) for c in ("hit", "non") for x in ("", "_id")], *[StructField(c, LongType()) for c in ("n_hits", "over_hit", "over_non")]])
 
-    def mask(part: pd.DataFrame, known: list) -> np.ndarray:
-        place = {t: n for n, t in enumerate(known)}
-        m = np.zeros((len(part), len(known)), bool)
+    def nearest(part: pd.DataFrame, s: np.ndarray, known: list, places: dict) -> pd.DataFrame:
+        m = np.zeros(s.shape, bool)
         for n, h in enumerate(part["__hits"]):
-            if h is not None:
-                m[n, [place[t] for t in h if t in place]] = True
-        return m
-
-    def nearest(part: pd.DataFrame, s: np.ndarray, known: list) -> pd.DataFrame:
-        m, rows = mask(part, known), np.arange(len(part))
+            for w in () if h is None else h:
+                if w in places:
+                    m[n, places[w]] = True
+        flat = np.flatnonzero(m)
+        row, at = np.divmod(flat, len(known))
+        with_ = np.round(s.ravel()[flat], 9)
+        s.ravel()[flat] = -9.0
+        hit, hit_at = _first_best(row, at, with_, len(part))
+        most = s.max(axis=1)
+        close = np.flatnonzero(s >= (most - 2e-9)[:, None])  # those that may be equal when rounded
+        close = close[s.ravel()[close] > -9]
+        non, non_at = _first_best(close // len(known), close % len(known), np.round(s.ravel()[close], 9), len(part))
         out = {post_id: part[post_id].to_numpy()}
-        for name, keep in (("hit", m), ("non", ~m)):
-            x = np.where(keep, s, -9.0)
-            top = x.argmax(axis=1)
-            out[name] = [float(v) if v > -9 else None for v in x[rows, top]]
-            out[f"{name}_id"] = [known[t] if v > -9 else None for t, v in zip(top, x[rows, top])]
-        return pd.DataFrame(out)
-
-    far = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct((-F.col(c)).alias("s"), F.col(f"{c}_id").alias("i")))).alias(c)
-    trends = materialise(trends.select(trend_id, trend_vector))  # read in two passes
-    best = over_blocks(p, trends, vector, trend_id, trend_vector, nearest, ends)[0].groupBy(post_id).agg(far("hit"), far("non"))
-    best = best.select(post_id, (-F.col("hit.s")).alias("hit"), F.col("hit.i").alias("hit_id"), (-F.col("non.s")).alias("non"), F.col("non.i").alias("non_id"))
-    above = StructType([at, StructField("over_hit", IntegerType()), StructField("over_non", IntegerType())])
-
-    def count(part: pd.DataFrame, s: np.ndarray, known: list) -> pd.DataFrame:
-        hit, non = (part[c].fillna(9.0).to_numpy(float)[:, None] for c in ("hit", "non"))
-        return pd.DataFrame({post_id: part[post_id].to_numpy(), "over_hit": (s > hit).sum(axis=1).astype(np.int32), "over_non": ((s > non) & mask(part, known)).sum(axis=1).astype(np.int32)})
-
-    n = over_blocks(p.join(best.select(post_id, "hit", "non"), post_id), trends, vector, trend_id, trend_vector, count, above)[0]
-    n = n.groupBy(post_id).agg(F.sum("over_hit").alias("over_hit"), F.sum("over_non").alias("over_non"))
-    x = best.join(n, post_id).join(p.select(post_id, F.coalesce(F.size("__hits"), F.lit(0)).alias("n_hits")), post_id)
+        for name, v, i in (("hit", hit, hit_at), ("non", non, non_at)):
+            out[name], out[f"{name}_id"] = np.where(i >= 0, v, np.nan), pd.Series([known[t] if t >= 0 else None for t in i], dtype=object)
+        # above the given best of all blocks, else of this one
+        hit, non = (part[c].fillna(9.0).to_numpy(float) if c in part else np.where(i >= 0, v, 9.0) for c, v, i in (("hit", hit, hit_at), ("non", non, non_at)))
+        count = lambda r: np.bincount(r, minlength=len(part))
+        return pd.DataFrame(out | {"n_hits": count(row), "over_hit": np.count_nonzero(s > (hit + 5e-10)[:, None], axis=1), "over_non": count(row[with_ > non[row]])})
+
+    x, blocks = over_blocks(p, trends, vector, trend_id, trend_vector, nearest, kind, owners=pairs, key="__key")
+    if blocks > 1:
+        far = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct((-F.col(c)).alias("s"), F.col(f"{c}_id").alias("i")))).alias(c)
+        best = x.groupBy(post_id).agg(far("hit"), far("non"), F.sum("n_hits").alias("n_hits"))
+        best = materialise(best.select(post_id, (-F.col("hit.s")).alias("hit"), F.col("hit.i").alias("hit_id"), (-F.col("non.s")).alias("non"), F.col("non.i").alias("non_id"), "n_hits"))
+        n = over_blocks(p.join(best.select(post_id, "hit", "non"), post_id), trends, vector, trend_id, trend_vector, nearest, kind, owners=pairs, key="__key")[0]
+        x = best.join(n.groupBy(post_id).agg(F.sum("over_hit").alias("over_hit"), F.sum("over_non").alias("over_non")), post_id)
     one = F.struct((-(1.0 / (k + 1 + F.col("over_hit")) + 1.0 / (k + 1))).alias("r"), (-F.col("hit")).alias("s"), F.col("hit_id").alias("t"))
-    two = F.struct((-(1.0 / (k + 1 + F.col("over_non")) + 1.0 / (k + 1 + F.greatest("n_hits", F.lit(0))))).alias("r"), (-F.col("non")).alias("s"), F.col("non_id").alias("t"))
+    two = F.struct((-(1.0 / (k + 1 + F.col("over_non")) + 1.0 / (k + 1 + F.col("n_hits")))).alias("r"), (-F.col("non")).alias("s"), F.col("non_id").alias("t"))
     won = x.select(post_id, F.least(F.when(F.col("hit").isNotNull(), one), F.when(F.col("non").isNotNull(), two)).alias("w"))
     return won.select(post_id, F.col("w.t").alias(trend_id), (-F.col("w.r")).alias("rrf"), (-F.col("w.s")).alias("sim")).where(F.col("sim") >= floor)
 
 
+def _first_best(row: np.ndarray, at: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The highest value of each of ``n`` rows and the first place that has it (-1: none); rows and their places are in order."""
+    best, place = np.full(n, -9.0), np.full(n, -1)
+    np.maximum.at(best, row, value)
+    top = np.flatnonzero(value == best[row])[::-1]
+    place[row[top]] = at[top]  # the first of a row is written last
+    return best, place
+
+
 def merged_dictionary(rows: DataFrame, key: str, row_id: str, volume: str, keywords: str, least: int = 5) -> DataFrame:
     """``canonical, n_rows, volume, id, keywords``: rows under the shortest key of at least ``least`` characters that theirs contains (of
     equal length the first in order), else under their own; volumes added, keywords united, the smallest id."""

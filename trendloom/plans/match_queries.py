@@ -80,8 +80,9 @@ def _topic_trends(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Da
 def rrf_match(spark: SparkSession, d: str) -> DataFrame:
     """The topic of each post by the fused ranks of its cosine with the topic's centroid and of the topic's keywords in the text."""
     p, c, k = _topic_trends(spark, d)
-    hits = matching.keyword_matches(p, k, "id", "content", "topic", "k")
-    m = matching.hybrid_matches(p, c, hits, "id", "embedding", "topic", "centroid")
+    words = k.select("topic", F.lower(F.trim("k")).alias("word")).distinct()
+    hits = matching.keyword_matches(p, words.select("word", F.col("word").alias("k")), "id", "content", "word", "k")
+    m = matching.hybrid_matches(p, c, hits, "id", "embedding", "topic", "centroid", owners=words, key="word")
     return m.select("id", "topic", F.round("rrf", 9).alias("rrf"), F.round("sim", 6).alias("sim"))
 
 
