@@ -78,6 +78,38 @@ def test_alignment_with_words_added_dropped_and_changed():
     assert truncation.aligned_verdict("The old lamp stood near the river and the bridge. The stone lies under the garden window today", whole) is False or truncation.aligned_verdict("x y z a b", whole) is None
 
 
+def test_cut_copies_of_a_text_that_is_not_the_longest_of_its_band(spark):
+    r = random.Random(5)
+    nouns = "lamp river stone bridge garden window".split()
+    opening = "Today our reporters in the old northern town write down what they have seen near the harbour since the early morning of the market day. "
+    loose = lambda: f"Guys the {r.choice(nouns)} {r.choice(VERBS)} the {r.choice(nouns)} next to the small {r.choice(nouns)} for real"
+    short = [opening + f"Pupil {k} learns. " + loose() for k in "abcdefgh"]
+    others = [opening + " ".join(f"{w}{k}" for k in range(40)) + "." for w in ("ships", "boats")]
+    rows = [*[loose() for _ in range(80)], *short, *[t + " and nobody can stop it now." for t in short], *others]
+    df = spark.createDataFrame([("t", n, -1, "s", t, False) for n, t in enumerate(rows)], "tbl string, row_id long, pos int, source string, text string, broken_off boolean")
+    assert {x["row_id"] for x in truncation.find_truncated(df).where("cut").collect()} == set(range(80, 80 + len(short)))
+
+
+def test_all_texts_that_one_may_be_a_copy_of(spark):
+    r = random.Random(8)
+    pool, opening = [f"từ{k}" for k in range(40)], [f"mở{k}" for k in range(22)]
+    texts = []
+    for _ in range(60):
+        long = opening + r.choices(pool, k=r.randrange(5, 60))
+        for _ in range(3):
+            ws = long[: r.randrange(12, len(long))]
+            for _ in range(r.randrange(4)):
+                ws[r.randrange(len(ws))] = r.choice(pool)
+            texts += [" ".join(long), " ".join(ws)]
+    texts = sorted(set(texts))
+    one = [(n, 0, t, "open", t, len(t), truncation.bands(t)) for n, t in enumerate(texts)]
+    df = spark.createDataFrame(one, "h1 long, h2 int, text string, state string, body string, size long, bands array<long>")
+    got = {(x["h1"], x["b1"]) for x in truncation._may_be_copies(df, df).collect()}
+    near = lambda a, b: len(texts[a]) < len(texts[b]) and set(one[a][6]) & set(one[b][6])
+    pairs = {(a, b) for a in range(len(texts)) for b in range(len(texts)) if near(a, b)}
+    assert got <= pairs and {(a, b) for a, b in pairs if truncation.aligned_verdict(texts[a], texts[b]) is not None} <= got and len(got) < len(pairs)
+
+
 # --- 3
 
 
